@@ -96,7 +96,7 @@ def _(spark, d):
 
 
 @query("parse_gpu_csv", """SELECT p_partkey, p_size AS index, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 0.0 ELSE p_size END::DOUBLE AS utilization_percent,
-    CASE WHEN p_retailprice > 0 THEN CAST(p_retailprice * 1048576 AS BIGINT) ELSE 0 END AS memory_total_bytes, CASE WHEN p_retailprice > 0 THEN (p_size::DOUBLE / p_retailprice) * 100 ELSE 0.0 END AS memory_used_percent,
+    CASE WHEN p_retailprice > 0 THEN CAST(floor(p_retailprice * 1048576) AS BIGINT) ELSE 0 END AS memory_total_bytes, CASE WHEN p_retailprice > 0 THEN (p_size::DOUBLE / p_retailprice) * 100 ELSE 0.0 END AS memory_used_percent,
     (p_size + 30)::DOUBLE AS temperature_celsius, 0.0::DOUBLE AS fan_speed_percent FROM part WHERE p_size % 7 <> 0""")
 def _(spark, d):
     """Device lines; parts of some sizes give a line that is too short."""

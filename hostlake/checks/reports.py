@@ -213,7 +213,7 @@ def _(spark, d):
 
 
 @query("dashboard", f"""WITH {LASTRATE} SELECT st.node_id, hostname, online, last_seen, cpu_percent, memory_percent, disk_percent, uptime_seconds, load_1m, memory_total_gb, disk_total_gb, containers_total, containers_running,
-    gpu_count, least(rx_mbps, 1000) AS net_rx_mbps, least(tx_mbps, 1000) AS net_tx_mbps, alert_count, critical_count, critical_count > 0 AS pinned FROM st LEFT JOIN lr USING (node_id)""")
+    gpu_count, CASE WHEN rx_mbps IS NOT NULL THEN least(rx_mbps, 1000) END AS net_rx_mbps, CASE WHEN tx_mbps IS NOT NULL THEN least(tx_mbps, 1000) END AS net_tx_mbps, alert_count, critical_count, critical_count > 0 AS pinned FROM st LEFT JOIN lr USING (node_id)""")
 def _(spark, d):
     pins = A.alert_counts(T.alerts(spark, d)).filter("critical_count > 0")
     return R.dashboard(state(spark, d), T.system_samples(spark, d), pins)

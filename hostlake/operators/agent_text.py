@@ -47,18 +47,19 @@ def parse_pool_list(lines: DataFrame) -> DataFrame:
 
 def parse_pool_status(texts: DataFrame, pool="name") -> DataFrame:
     """Error counters of the pool's own row and the outcome of the last scrub, from whole status texts."""
-    quoted = F.concat(F.lit(r"(?m)^\s*\Q"), as_col(pool), F.lit(r"\E\s+\S+\s+(\S+)\s+(\S+)\s+(\S+)"))
-    scan = F.regexp_extract("value", r"(?m)^\s*(scan:.*)$", 1)
+    fields = F.transform(F.split("value", "\n"), lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "))
+    own = F.get(F.filter(fields, lambda f: (F.size(f) >= 5) & (F.get(f, F.lit(0)) == as_col(pool))), F.lit(0))
     num = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
-    return texts.withColumn("scan", scan).select(
+    scan = F.regexp_extract("value", r"(?m)^\s*(scan:.*)$", 1)
+    rows = texts.withColumns({"own": own, "scan": scan})
+    done = F.col("scan").contains("scrub repaired")
+    return rows.select(
         *[c for c in texts.columns if c != "value"],
-        *[num(F.regexp_extract("value", quoted, i)).alias(n)
-          for i, n in enumerate(("read_errors", "write_errors", "cksum_errors"), 1)],
-        F.when(F.col("scan").contains("scrub repaired"), F.trim(F.regexp_extract("scan", r" on (.*)$", 1)))
+        *[num(F.get("own", F.lit(i))).alias(n) for i, n in enumerate(("read_errors", "write_errors", "cksum_errors"), 2)],
+        F.when(done, F.trim(F.regexp_extract("scan", r" on (.*)$", 1)))
         .when(F.col("scan").contains("scrub in progress"), "in progress")
         .when(F.col("scan").contains("none requested"), "never").otherwise("").alias("last_scrub"),
-        F.when(F.col("scan").contains("scrub repaired"), num(F.regexp_extract("scan", r"with (\S+) ", 1)))
-        .otherwise(0).alias("scrub_errors"))
+        F.when(done, num(F.regexp_extract("scan", r"with (\S+) ", 1))).otherwise(0).alias("scrub_errors"))
 
 
 SMART_DOC = (

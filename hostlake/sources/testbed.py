@@ -27,8 +27,14 @@ def _struct(**fields) -> Column:
     return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
 
 
-def _base(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def event_stream(spark, sf_dir) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+
+
+def _base(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events") if events is None else events
     return e.select(
         F.concat(F.lit("n"), F.col("user_id")).alias("node_id"),
         "ts",
@@ -41,14 +47,14 @@ def _base(spark, sf_dir) -> DataFrame:
     )
 
 
-def system_samples(spark, sf_dir) -> DataFrame:
+def system_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
     u, k, v, sid = F.col("u"), F.col("k"), F.col("value"), F.col("sample_id")
     d0, d1 = (k * 37 + u) % 101, (k * 53 + u * 7) % 101
     size = (u % 5 + 4) * GB
     eth0 = _struct(interface="eth0", bytes_recv=k * 7_500_000 + sid * 1000, bytes_sent=k * 1_250_000 + sid * 10)
     eth1 = _struct(interface="eth1", bytes_recv=(99 - k) * 1_000_000, bytes_sent=(99 - k) * 500_000)
     lo = _struct(interface="lo", bytes_recv=sid * 1_000_000, bytes_sent=sid * 1_000_000)
-    return _base(spark, sf_dir).select(
+    return _base(spark, sf_dir, events).select(
         "node_id", "ts", "sample_id",
         F.lit(None).cast("string").alias("hostname"),
         F.least(v, F.lit(100.0)).alias("cpu_percent"),
