@@ -1,9 +1,9 @@
 """Neighbours and ranks inside a key without putting the whole key into one task.
 
 A plain window per node would place every row of that node in one task, and one node may hold a
-third of the data. Here rows are cut into time slots: the window runs per (key, slot), and only one
-edge row per slot is carried over to the neighbouring slot. The edge table comes from a partially
-aggregated groupBy, so its size per key is bounded by the time span divided by the slot width.
+third of the data. Here rows are cut into time slots: windows run per (key, slot), and only the two edge
+rows of each slot meet per key, so a key gathers at most twice the time span divided by the slot width.
+slot_seconds_for measures the slot width for data that is denser than the default expects.
 """
 
 from __future__ import annotations
@@ -45,51 +45,47 @@ def with_neighbours(
     tie: str | None = None,
     lag: bool = True,
     lead: bool = False,
-    rank: bool = False,
     slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
-    """Adds, per key in (ts, tie) order: prev_<c> / next_<c> for the carried columns, and with
-    rank=True the 0-based position `pos` and the group size `group_size`.
+    """Adds, per key in (ts, tie) order, prev_<c> and / or next_<c> for the carried columns.
 
-    (ts, tie) must be unique inside a key.
+    Two windows in one pass over the data: the first per (key, slot); the second brings only the first
+    and last row of every slot together per key, where a slot's first row finds the last row of the slot
+    before it. (ts, tie) must be unique inside a key.
     """
-    body = df.withColumn("_slot", time_slot(ts, slot_seconds))
-    order = F.col(ts) if tie is None else F.struct(ts, tie)
-    aggs = []
-    if lag:
-        aggs += [F.max_by(c, order).alias(f"_tail_{c}") for c in carry]
-    if lead:
-        aggs += [F.min_by(c, order).alias(f"_head_{c}") for c in carry]
-    if rank:
-        aggs.append(F.count(F.lit(1)).alias("_rows"))
-    per_key = Window.partitionBy(*keys).orderBy("_slot")
-    edge_cols: list[Column] = []
+    order = [ts] if tie is None else [ts, tie]
+    in_slot = Window.partitionBy(*keys, "_slot").orderBy(*order)
+    inner = [F.lag(c).over(in_slot).alias(f"_p_{c}") for c in carry] if lag else []
+    inner += [F.lead(c).over(in_slot).alias(f"_n_{c}") for c in carry] if lead else []
+    body = (
+        df.withColumn("_slot", time_slot(ts, slot_seconds))
+        .select(*df.columns, "_slot", *inner, (F.row_number().over(in_slot) == 1).alias("_first"),
+                F.lead(F.lit(1)).over(in_slot).isNull().alias("_last"))
+        .withColumn("_slot", F.when(~(F.col("_first") | F.col("_last")), F.col("_slot"))))
+    edges = Window.partitionBy(*keys, "_slot").orderBy(*order)  # slot is null for all edge rows of a key
+    cols: list[Column] = []
     if lag:
-        edge_cols += [F.lag(f"_tail_{c}").over(per_key).alias(f"_before_{c}") for c in carry]
+        cols += [F.when(F.col("_first"), F.lag(c).over(edges)).otherwise(F.col(f"_p_{c}")).alias(f"prev_{c}") for c in carry]
     if lead:
-        edge_cols += [F.lead(f"_head_{c}").over(per_key).alias(f"_after_{c}") for c in carry]
-    if rank:
-        earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
-        edge_cols.append(F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-        edge_cols.append(F.sum("_rows").over(Window.partitionBy(*keys)).alias("group_size"))
-    edges = body.groupBy(*keys, "_slot").agg(*aggs).select(*keys, "_slot", *edge_cols)
+        cols += [F.when(F.col("_last"), F.lead(c).over(edges)).otherwise(F.col(f"_n_{c}")).alias(f"next_{c}") for c in carry]
+    return body.select(*[F.col(c) for c in df.columns], *cols)
+
+
+def with_position(df: DataFrame, keys: list[str], ts: str, tie: str | None = None,
+                  slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Adds the 0-based position `pos` per key in (ts, tie) order and the group size `group_size`.
 
+    Rows are numbered inside their slot; what earlier slots hold comes from slot counts, a partially
+    aggregated table of one row per key and slot.
+    """
+    body = df.withColumn("_slot", time_slot(ts, slot_seconds))
+    per_key = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = body.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *keys, "_slot", F.coalesce(F.sum("_rows").over(per_key), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(Window.partitionBy(*keys)).alias("group_size"))
     in_slot = Window.partitionBy(*keys, "_slot").orderBy(*([ts] if tie is None else [ts, tie]))
-    first = F.row_number().over(in_slot) == 1
-    out = body.join(edges, [*keys, "_slot"])
-    cols: list[Column] = []
-    if lag:
-        cols += [
-            F.when(first, F.col(f"_before_{c}")).otherwise(F.lag(c).over(in_slot)).alias(f"prev_{c}") for c in carry
-        ]
-    if lead:
-        # a slot's last row is the one without a following row; lead(1) marks it apart from a null value
-        last = F.lead(F.lit(1)).over(in_slot).isNull()
-        cols += [F.when(last, F.col(f"_after_{c}")).otherwise(F.lead(c).over(in_slot)).alias(f"next_{c}") for c in carry]
-    if rank:
-        cols.append((F.col("_offset") + F.row_number().over(in_slot) - 1).alias("pos"))
-        cols.append(F.col("group_size"))
-    return out.select(*[F.col(c) for c in df.columns], *cols)
+    return body.join(counts, [*keys, "_slot"]).select(
+        *[F.col(c) for c in df.columns], (F.col("_offset") + F.row_number().over(in_slot) - 1).alias("pos"), "group_size")
 
 
 def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "n") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import micros, round_to, shift
 from .latest import recent_samples
-from .ordered import SLOT_SECONDS, with_neighbours
+from .ordered import SLOT_SECONDS, with_neighbours, with_position
 from .selection import window_since
 
 
@@ -60,8 +60,7 @@ def sparkline(samples: DataFrame, metric: str, as_of: Column, hours: int = 1, po
     """At most `points` readings per node: with n of them, those at positions floor(i * n / points)."""
     rows = window_since(samples, hours, as_of).filter(F.col(metric).isNotNull()).select(
         "node_id", "ts", "sample_id", round_to(metric, 1).alias("value"))
-    ranked = with_neighbours(rows, ["node_id"], "ts", [], tie="sample_id", lag=False, rank=True,
-                             slot_seconds=slot_seconds)
+    ranked = with_position(rows, ["node_id"], "ts", "sample_id", slot_seconds)
     step = F.col("group_size") / F.lit(float(points))
     guess = F.floor(F.col("pos") / step)
     hit = F.lit(False)
