@@ -225,7 +225,7 @@ def _(spark, d):
 @query("temperatures", """SELECT node_id, 'package' AS label, temp AS value, 'system' AS source FROM sl UNION ALL
     SELECT node_id, name, temperature_celsius, 'gpu' FROM gpl WHERE temperature_celsius > 0""")
 def _(spark, d):
-    return silver.temperatures(latest.latest_sample(T.system_samples(spark, d)), latest.latest_sample(T.gpu_samples(spark, d)))
+    return silver.temperatures(T.newest(spark, d, "system"), T.newest(spark, d, "gpu"))
 
 
 @query("cpu_total", "SELECT node_id, ts, (cpu_percent + memory_percent + disk_percent) / 3 AS cpu_total FROM s")
@@ -348,9 +348,8 @@ def _(spark, d):
 
 
 def _gauges(spark, d):
-    L = latest.latest_sample
-    return gauges(T.nodes(spark, d), L(T.system_samples(spark, d)), L(T.docker_samples(spark, d)), L(T.gpu_samples(spark, d)),
-                  L(T.smart_samples(spark, d)), L(T.zfs_samples(spark, d)), T.alerts(spark, d), T.as_of(), T.ONLINE_MINUTES)
+    return gauges(T.nodes(spark, d), T.newest(spark, d, "system"), T.newest(spark, d, "docker"), T.newest(spark, d, "gpu"),
+                  T.newest(spark, d, "smart"), T.newest(spark, d, "zfs"), T.alerts(spark, d), T.as_of(), T.ONLINE_MINUTES)
 
 
 GAUGES = """g AS (

@@ -9,13 +9,10 @@ from ..sources import testbed as T
 from .base import AS_OF, query
 from .metrics import RATES
 
-L = latest.latest_sample
-
-
 def state(spark, d, docker=True, gpu=True, alerts=True):
     return R.fleet_state(
-        T.nodes(spark, d), L(T.system_samples(spark, d)), L(T.docker_samples(spark, d)) if docker else None,
-        L(T.gpu_samples(spark, d)) if gpu else None, T.alerts(spark, d) if alerts else None, T.as_of(), T.ONLINE_MINUTES)
+        T.nodes(spark, d), T.newest(spark, d, "system"), T.newest(spark, d, "docker") if docker else None,
+        T.newest(spark, d, "gpu") if gpu else None, T.alerts(spark, d) if alerts else None, T.as_of(), T.ONLINE_MINUTES)
 
 
 UPTIME = """CASE WHEN uptime_seconds <= 0 THEN 'unknown' WHEN uptime_seconds >= 86400 THEN (uptime_seconds // 86400) || 'd ' || (uptime_seconds % 86400 // 3600) || 'h'
@@ -78,7 +75,7 @@ def _(spark, d):
 
 @query("containers_report", "SELECT node_id, hostname, name, state, status, restart_count FROM ctl JOIN reg USING (node_id)")
 def _(spark, d):
-    return R.containers_report(T.registrations(spark, d), L(T.docker_samples(spark, d)))
+    return R.containers_report(T.registrations(spark, d), T.newest(spark, d, "docker"))
 
 
 @query("current_concerns", """SELECT node_id, hostname, array_to_string(list_filter([CASE WHEN cpu_percent > 80 THEN 'CPU' END, CASE WHEN memory_percent > 85 THEN 'MEM' END,
@@ -107,17 +104,17 @@ def _(spark, d):
     floor(memory_used_bytes / 1073741824.0::DOUBLE * 100 + 0.5) / 100 AS vram_used_gb, floor(memory_free_bytes / 1073741824.0::DOUBLE * 100 + 0.5) / 100 AS vram_free_gb, temperature_celsius, power_watts,
     power_limit_watts, fan_speed_percent, online FROM gpl JOIN nu USING (node_id)""")
 def _(spark, d):
-    return R.gpu_report(T.nodes(spark, d), L(T.gpu_samples(spark, d)), T.as_of(), T.ONLINE_MINUTES)
+    return R.gpu_report(T.nodes(spark, d), T.newest(spark, d, "gpu"), T.as_of(), T.ONLINE_MINUTES)
 
 
 @query("smart_report", """SELECT node_id, hostname, device, model, CASE WHEN healthy THEN 'OK' WHEN NOT healthy THEN 'FAIL' ELSE '?' END AS status, temperature_c, power_on_hours, online FROM sml JOIN nu USING (node_id)""")
 def _(spark, d):
-    return R.smart_report(T.nodes(spark, d), L(T.smart_samples(spark, d)), T.as_of(), T.ONLINE_MINUTES)
+    return R.smart_report(T.nodes(spark, d), T.newest(spark, d, "smart"), T.as_of(), T.ONLINE_MINUTES)
 
 
 @query("smart_health_counts", """SELECT count(*) AS drives, count(*) FILTER (healthy) AS healthy, count(*) FILTER (NOT healthy) AS unhealthy, count(*) FILTER (healthy IS NULL) AS unknown, count(DISTINCT node_id) AS hosts FROM sml""")
 def _(spark, d):
-    return A.smart_health_counts(silver.explode_items(L(T.smart_samples(spark, d)), "devices"))
+    return A.smart_health_counts(silver.explode_items(T.newest(spark, d, "smart"), "devices"))
 
 
 @query("disk_capacity", f"""SELECT st.node_id, hostname, st.disk_percent, {BAND.format('st.disk_percent')} AS band, online, CASE WHEN st.disk_percent > 90 THEN 'critical' WHEN st.disk_percent > 80 THEN 'approaching' END AS warning,
@@ -125,7 +122,7 @@ def _(spark, d):
         CASE WHEN d1 > 0 THEN '/data:' || d1 || ':' || (floor(((sl.u + 200) * 1073741824 // 101) * (101 - d1) / 1073741824.0::DOUBLE * 10 + 0.5) / 10) || '/' || (sl.u + 200)::DOUBLE END], lambda x: x IS NOT NULL), ','), '') AS mounts
     FROM st LEFT JOIN sl USING (node_id)""")
 def _(spark, d):
-    system = L(T.system_samples(spark, d))
+    system = T.newest(spark, d, "system")
     return R.disk_capacity(state(spark, d, docker=False, gpu=False, alerts=False), system)
 
 
@@ -159,13 +156,13 @@ def _(spark, d):
 @query("temperature_report", """WITH t AS (SELECT node_id, temp AS v FROM sl UNION ALL SELECT node_id, temperature_celsius FROM gpl), m AS (SELECT node_id, max(v) AS mt, count(*) AS c FROM t WHERE v > 0 GROUP BY 1)
     SELECT nu.node_id, hostname, coalesce(mt, 0) AS max_temp, coalesce(c, 0) AS sensors, CASE WHEN mt >= 90 THEN 'critical' WHEN mt >= 80 THEN 'concerning' ELSE 'normal' END AS band, online FROM nu LEFT JOIN m USING (node_id)""")
 def _(spark, d):
-    return R.temperature_report(T.nodes(spark, d), L(T.system_samples(spark, d)), L(T.gpu_samples(spark, d)), T.as_of(), T.ONLINE_MINUTES)
+    return R.temperature_report(T.nodes(spark, d), T.newest(spark, d, "system"), T.newest(spark, d, "gpu"), T.as_of(), T.ONLINE_MINUTES)
 
 
 @query("temperature_readings", """WITH t AS (SELECT node_id, 'package' AS label, temp AS value, 'system' AS source FROM sl UNION ALL SELECT node_id, name, temperature_celsius, 'gpu' FROM gpl)
     SELECT t.*, hostname, CASE WHEN value >= 90 THEN 'critical' WHEN value >= 80 THEN 'concerning' ELSE 'normal' END AS band FROM t JOIN reg USING (node_id) WHERE value > 0""")
 def _(spark, d):
-    return R.temperature_readings(T.registrations(spark, d), L(T.system_samples(spark, d)), L(T.gpu_samples(spark, d)))
+    return R.temperature_readings(T.registrations(spark, d), T.newest(spark, d, "system"), T.newest(spark, d, "gpu"))
 
 
 ISSUES = """iss AS (
@@ -252,5 +249,5 @@ def _(spark, d):
     b = T._base(spark, d)
     w = b.select(F.when(F.col("u") % 2 == 0, F.concat(F.lit("My SVC"), F.col("sample_id") % 9, F.lit(" thing"))).otherwise(
         F.concat(F.lit("vc"), F.col("sample_id") % 9)).alias("name")).distinct()
-    rows = silver.explode_items(L(T.docker_samples(spark, d)), "containers")
+    rows = silver.explode_items(T.newest(spark, d, "docker"), "containers")
     return names.find_container(w, rows, T.nodes(spark, d))

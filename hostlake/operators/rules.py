@@ -7,12 +7,13 @@ same type in one payload the first sets the severity and the last one the messag
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import micros, online, round_to, shift
+from ..functions.scalars import micros, online
 from .accounts import THRESHOLDS
 from .ordered import with_neighbours
 from .silver import worst_disk
@@ -28,108 +29,105 @@ SMART_WARM, SMART_HOT = 55, 65
 OFFLINE_MINUTES, CHECK_SECONDS = 5, 120
 
 
-def _num(c: Column, digits: int = 1) -> Column:
-    return round_to(c, digits).cast("string")
+def _round(v: str, digits: int = 1) -> str:
+    scale = 10**digits
+    return f"cast(floor({v} * {scale}D + 0.5D) / {scale}D AS STRING)" if digits else f"cast(floor({v} + 0.5D) AS STRING)"
 
 
-def _plain(c: Column) -> Column:
+def _plain(c: str) -> str:
     """A threshold as written: without decimals when it is whole."""
-    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    return f"IF({c} = floor({c}), cast(floor({c}) AS STRING), cast({c} AS STRING))"
 
 
-def _firing(kind: str, severity, message: Column, value: Column) -> Column:
-    sev = F.lit(severity) if isinstance(severity, str) else severity
-    return F.struct(F.lit(kind).alias("alert_type"), sev.alias("severity"), message.alias("message"),
-                    value.cast("double").alias("value"), F.lit(1).alias("hits"))
+def _firing(kind: str, severity: str, message: str, value: str, hits: str = "1") -> str:
+    return (f"named_struct('alert_type', '{kind}', 'severity', {severity}, 'message', {message}, "
+            f"'value', cast({value} AS DOUBLE), 'hits', {hits})")
 
 
-def _system(t: Callable[[str], Column]) -> list[Column]:
-    cpu, mem, load, count = (F.col(c) for c in ("cpu_percent", "memory_percent", "load1", "cpu_count"))
-    disk = F.col("_worst")["used_percent"]
-    label = F.when(F.col("_worst")["label"] != "", F.concat(F.lit(" ("), F.col("_worst")["label"], F.lit(")"))).otherwise("")
-
-    def over(what, v, key, extra=F.lit("")):
-        return F.concat(F.lit(f"{what} usage at "), _num(v), F.lit("%"), extra, F.lit(" (threshold: "), _plain(t(key)), F.lit("%)"))
+def _system(t: Callable[[str], str]) -> list[str]:
+    def rule(what, v, kind, severity, key, label="''"):
+        text = f"concat('{what} usage at ', {_round(v)}, '%', {label}, ' (threshold: ', {_plain(t(key))}, '%)')"
+        return f"WHEN {v} > {t(key)} THEN {_firing(kind, repr(severity), text, v)}"
 
+    disk, mount = "_worst.used_percent", "IF(_worst.label <> '', concat(' (', _worst.label, ')'), '')"
+    load = ("concat('Load average ', " + _round("load1", 2) + ", ' exceeds threshold (', cpu_count * 2, ') for ', "
+            "cpu_count, ' CPUs')")
     return [
-        F.when(cpu > t("cpu_warning"), _firing("cpu_high", "warning", over("CPU", cpu, "cpu_warning"), cpu)),
-        F.when(mem > t("memory_critical"),
-               _firing("memory_critical", "critical", over("Memory", mem, "memory_critical"), mem))
-        .when(mem > t("memory_warning"), _firing("memory_high", "warning", over("Memory", mem, "memory_warning"), mem)),
-        F.when(disk > t("disk_critical"),
-               _firing("disk_critical", "critical", over("Disk", disk, "disk_critical", label), disk))
-        .when(disk > t("disk_warning"), _firing("disk_high", "warning", over("Disk", disk, "disk_warning", label), disk)),
-        F.when(load > count * 2, _firing(
-            "load_high", "warning",
-            F.concat(F.lit("Load average "), _num(load, 2), F.lit(" exceeds threshold ("), (count * 2).cast("string"),
-                     F.lit(") for "), count.cast("string"), F.lit(" CPUs")), load)),
+        f"CASE {rule('CPU', 'cpu_percent', 'cpu_high', 'warning', 'cpu_warning')} END",
+        f"CASE {rule('Memory', 'memory_percent', 'memory_critical', 'critical', 'memory_critical')} "
+        f"{rule('Memory', 'memory_percent', 'memory_high', 'warning', 'memory_warning')} END",
+        f"CASE {rule('Disk', disk, 'disk_critical', 'critical', 'disk_critical', mount)} "
+        f"{rule('Disk', disk, 'disk_high', 'warning', 'disk_warning', mount)} END",
+        f"CASE WHEN load1 > cpu_count * 2 THEN {_firing('load_high', repr('warning'), load, 'load1')} END",
     ]
 
 
-def _devices(kind: str, array: str, fires, severity, message, value) -> Column:
-    hits = F.filter(array, fires)
-    first, last = F.get(hits, F.lit(0)), F.get(hits, F.size(hits) - 1)
-    return F.when(F.size(hits) > 0, F.struct(
-        F.lit(kind).alias("alert_type"), severity(first).alias("severity"), message(last).alias("message"),
-        value(last).cast("double").alias("value"), F.size(hits).alias("hits")))
+def _devices(kind: str, array: str, fires: str, severity: str, message: str, value: str) -> str:
+    """Rule over the elements x of an array; severity of the first hit, message and value of the last."""
+    hits = f"filter({array}, x -> {fires})"
+
+    def of(position: str, text: str) -> str:
+        return re.sub(r"\bx\.", f"get({hits}, {position}).", text)
 
+    last = f"size({hits}) - 1"
+    return (f"CASE WHEN exists({array}, x -> {fires}) THEN "
+            f"{_firing(kind, of('0', severity), of(last, message), of(last, value), f'size({hits})')} END")
 
-def _docker(_t) -> list[Column]:
-    return [_devices(
-        "container_restarts", "containers", lambda c: c["restart_count"] > RESTART_LIMIT, lambda c: F.lit("warning"),
-        lambda c: F.concat(F.lit("Container '"), c["name"], F.lit("' has restarted "), c["restart_count"].cast("string"),
-                           F.lit(" times")), lambda c: c["restart_count"])]
 
+def _docker(_t) -> list[str]:
+    return [_devices("container_restarts", "containers", f"x.restart_count > {RESTART_LIMIT}", "'warning'",
+                     "concat('Container \\'', x.name, '\\' has restarted ', x.restart_count, ' times')", "x.restart_count")]
 
-def _services(_t) -> list[Column]:
-    return [_devices(
-        "service_failed", "services", lambda s: ~s["healthy"], lambda s: F.lit("critical"),
-        lambda s: F.concat(F.lit("Service '"), s["name"], F.lit("' health check failed")), lambda s: F.lit(None))]
 
+def _services(_t) -> list[str]:
+    return [_devices("service_failed", "services", "NOT x.healthy", "'critical'",
+                     "concat('Service \\'', x.name, '\\' health check failed')", "null")]
 
-def _gpu(t) -> list[Column]:
-    def text(what, field, key, unit, digits):
-        return lambda g: F.concat(
-            g["name"], F.lit(" (GPU "), g["index"].cast("string"), F.lit(f") {what} at "),
-            _num(g[field], digits) if digits else F.floor(g[field] + 0.5).cast("string"),
-            F.lit(f"{unit} (threshold: "), _plain(t(key)), F.lit(f"{unit})"))
 
-    warn = lambda g: F.lit("warning")
-    util, mem, temp = "utilization_percent", "memory_used_percent", "temperature_celsius"
+def _gpu(t) -> list[str]:
+    def rule(kind, what, field, key, unit, digits, severity="'warning'"):
+        text = (f"concat(x.name, ' (GPU ', x.index, ') {what} at ', {_round(f'x.{field}', digits)}, '{unit} (threshold: ', "
+                f"{_plain(t(key))}, '{unit})')")
+        return _devices(kind, "devices", f"x.{field} > {t(key)}", severity, text, f"x.{field}")
+
+    hot = f"IF(x.temperature_celsius > {t('gpu_temp_critical')}, 'critical', 'warning')"
     return [
-        _devices("gpu_high", "devices", lambda g: g[util] > t("gpu_util_warning"), warn,
-                 text("utilization", util, "gpu_util_warning", "%", 1), lambda g: g[util]),
-        _devices("gpu_memory_high", "devices", lambda g: g[mem] > t("gpu_mem_warning"), warn,
-                 text("memory", mem, "gpu_mem_warning", "%", 1), lambda g: g[mem]),
-        _devices("gpu_temp_high", "devices", lambda g: g[temp] > t("gpu_temp_warning"),
-                 lambda g: F.when(g[temp] > t("gpu_temp_critical"), "critical").otherwise("warning"),
-                 text("temperature", temp, "gpu_temp_warning", "°C", 0), lambda g: g[temp]),
+        rule("gpu_high", "utilization", "utilization_percent", "gpu_util_warning", "%", 1),
+        rule("gpu_memory_high", "memory", "memory_used_percent", "gpu_mem_warning", "%", 1),
+        rule("gpu_temp_high", "temperature", "temperature_celsius", "gpu_temp_warning", "°C", 0, hot),
     ]
 
 
-def _smart(_t) -> list[Column]:
-    answered = lambda d: F.coalesce(d["error"], F.lit("")) == ""
-    name = lambda d: F.concat(F.lit("Disk "), d["device"], F.when(
-        d["model"] != "", F.concat(F.lit(" ("), d["model"], F.lit(")"))).otherwise(""))
-    temp, moved = "temperature_c", "reallocated_sector_ct"
+def _smart(_t) -> list[str]:
+    ok = "coalesce(x.error, '') = ''"
+    name = "'Disk ', x.device, IF(x.model <> '', concat(' (', x.model, ')'), '')"
     return [
-        _devices("smart_unhealthy", "devices", lambda d: answered(d) & ~d["healthy"], lambda d: F.lit("critical"),
-                 lambda d: F.concat(name(d), F.lit(" SMART health: FAILED")), lambda d: F.lit(None)),
-        _devices("smart_temp_high", "devices", lambda d: answered(d) & (d[temp] > SMART_WARM),
-                 lambda d: F.when(d[temp] > SMART_HOT, "critical").otherwise("warning"),
-                 lambda d: F.concat(name(d), F.lit(" temperature at "), F.floor(d[temp] + 0.5).cast("string"),
-                                    F.lit(f"°C (threshold: {SMART_WARM}°C)")), lambda d: d[temp]),
-        _devices("smart_reallocated", "devices", lambda d: answered(d) & (d[moved] > 0), lambda d: F.lit("warning"),
-                 lambda d: F.concat(name(d), F.lit(" has "), d[moved].cast("string"), F.lit(" reallocated sector(s)")),
-                 lambda d: d[moved]),
+        _devices("smart_unhealthy", "devices", f"{ok} AND NOT x.healthy", "'critical'",
+                 f"concat({name}, ' SMART health: FAILED')", "null"),
+        _devices("smart_temp_high", "devices", f"{ok} AND x.temperature_c > {SMART_WARM}",
+                 f"IF(x.temperature_c > {SMART_HOT}, 'critical', 'warning')",
+                 f"concat({name}, ' temperature at ', {_round('x.temperature_c', 0)}, '°C (threshold: {SMART_WARM}°C)')",
+                 "x.temperature_c"),
+        _devices("smart_reallocated", "devices", f"{ok} AND x.reallocated_sector_ct > 0", "'warning'",
+                 f"concat({name}, ' has ', x.reallocated_sector_ct, ' reallocated sector(s)')", "x.reallocated_sector_ct"),
     ]
 
 
-# collector -> rules of one row; a new rule is one more function here.
-RULES: dict[str, Callable[[Callable[[str], Column]], list[Column]]] = {
+# collector -> SQL expressions of one row, each null or a firing; a new rule is one more expression here.
+# The argument gives the SQL of a threshold.
+RULES: dict[str, Callable[[Callable[[str], str]], list[str]]] = {
     "system": _system, "docker": _docker, "services": _services, "gpu": _gpu, "smart": _smart}
 
 
+def default_threshold(key: str) -> str:
+    return f"{float(THRESHOLDS[key])}D"
+
+
+def fired(collector: str, threshold: Callable[[str], str] = default_threshold) -> Column:
+    """The firings of a row of one collector, as an array."""
+    return F.expr(f"array_compact(array({', '.join(RULES[collector](threshold))}))")
+
+
 def firings(collectors: dict[str, DataFrame], thresholds: DataFrame | None = None) -> DataFrame:
     """(node_id, ts, alert_type, severity, message, value, hits, collector): a row per fired type and payload.
 
@@ -138,16 +136,16 @@ def firings(collectors: dict[str, DataFrame], thresholds: DataFrame | None = Non
     out = None
     for name, df in collectors.items():
         if thresholds is None:
-            t = lambda key: F.lit(float(THRESHOLDS[key]))
+            t = default_threshold
         else:
             used = {"system": ("cpu", "memory", "disk"), "gpu": ("gpu",)}.get(name, ())
             keys = [k for k in THRESHOLDS if k.startswith(tuple(f"{u}_" for u in used))]
             if keys:
                 df = df.join(thresholds.select("node_id", *[F.col(k).alias(f"_t_{k}") for k in keys]), "node_id", "left")
-            t = lambda key: F.coalesce(F.col(f"_t_{key}"), F.lit(float(THRESHOLDS[key])))
+            t = lambda key: f"coalesce(_t_{key}, {default_threshold(key)})"
         if name == "system":
             df = df.withColumn("_worst", worst_disk("disks"))
-        rows = df.select("node_id", "ts", F.explode(F.array_compact(F.array(*RULES[name](t)))).alias("f")).select(
+        rows = df.select("node_id", "ts", F.explode(fired(name, t)).alias("f")).select(
             "node_id", "ts", "f.*", F.lit(name).alias("collector"))
         out = rows if out is None else out.unionByName(rows)
     return out

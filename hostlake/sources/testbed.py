@@ -10,125 +10,135 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.latest import latest_row
+
 AS_OF = "2024-01-31 00:00:00"
 ONLINE_MINUTES = 720
 GB = 1073741824
 
 
+# Column types of the given tables, so that opening one needs no schema job.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+                "l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_stream(spark, sf_dir) -> DataFrame:
+    """The events table as a file stream."""
+    return spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def _struct(**fields) -> Column:
-    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
+def newest_events(spark, sf_dir, event_type: str | None = None) -> DataFrame:
+    """Each node's newest event, or newest of one type: picked on the raw rows, before payloads are built."""
+    e = table(spark, sf_dir, "events")
+    if event_type is not None:
+        e = e.filter(F.col("event_type") == event_type)
+    return latest_row(e, ["user_id"], ["ts", "event_id"])
 
 
-def event_stream(spark, sf_dir) -> DataFrame:
-    """The events table as a file stream."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+def newest(spark, sf_dir, what: str) -> DataFrame:
+    """Newest sample per node of a collector."""
+    kind, samples = {
+        "system": (None, system_samples), "docker": ("click", docker_samples), "gpu": ("view", gpu_samples),
+        "smart": ("purchase", smart_samples), "zfs": ("purchase", zfs_samples)}[what]
+    return samples(spark, sf_dir, newest_events(spark, sf_dir, kind))
 
 
 def _base(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
     e = table(spark, sf_dir, "events") if events is None else events
-    return e.select(
-        F.concat(F.lit("n"), F.col("user_id")).alias("node_id"),
-        "ts",
-        F.col("event_id").alias("sample_id"),
-        "event_type",
-        "value",
-        F.col("user_id").alias("u"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        "props",
-    )
+    return e.selectExpr(
+        "concat('n', user_id) AS node_id", "ts", "event_id AS sample_id", "event_type", "value", "user_id AS u",
+        "cast(get_json_object(props, '$.k') AS BIGINT) AS k", "props")
 
 
 def system_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
-    u, k, v, sid = F.col("u"), F.col("k"), F.col("value"), F.col("sample_id")
-    d0, d1 = (k * 37 + u) % 101, (k * 53 + u * 7) % 101
-    size = (u % 5 + 4) * GB
-    eth0 = _struct(interface="eth0", bytes_recv=k * 7_500_000 + sid * 1000, bytes_sent=k * 1_250_000 + sid * 10)
-    eth1 = _struct(interface="eth1", bytes_recv=(99 - k) * 1_000_000, bytes_sent=(99 - k) * 500_000)
-    lo = _struct(interface="lo", bytes_recv=sid * 1_000_000, bytes_sent=sid * 1_000_000)
-    return _base(spark, sf_dir, events).select(
+    d0, d1, gb = "(k * 37 + u) % 101", "(k * 53 + u * 7) % 101", "1073741824"
+
+    def disk(mount, dev, used, size):
+        return (f"named_struct('mountpoint', '{mount}', 'device', '{dev}', 'used_percent', cast({used} AS DOUBLE), "
+                f"'total_bytes', {size} * {gb}, 'free_bytes', {size} * {gb} div 101 * (101 - {used}))")
+
+    def nic(name, recv, sent):
+        return f"named_struct('interface', '{name}', 'bytes_recv', {recv}, 'bytes_sent', {sent})"
+
+    eth0 = nic("eth0", "k * 7500000 + sample_id * 1000", "k * 1250000 + sample_id * 10")
+    eth1 = nic("eth1", "(99 - k) * 1000000", "(99 - k) * 500000")
+    lo = nic("lo", "sample_id * 1000000", "sample_id * 1000000")
+    return _base(spark, sf_dir, events).selectExpr(
+        "node_id", "ts", "sample_id", "cast(null AS STRING) AS hostname", "least(value, 100D) AS cpu_percent",
+        "cast(u % 8 + 1 AS INT) AS cpu_count", "cast(k AS DOUBLE) AS memory_percent",
+        f"(u % 5 + 4) * {gb} AS memory_total_bytes", f"(u % 5 + 4) * {gb} div 100 * k AS memory_used_bytes",
+        f"array({disk('/', '/dev/sda1', d0, '(u + 100)')}, {disk('/data', '/dev/sdb1', d1, '(u + 200)')}) AS disks",
+        f"cast({d0} AS DOUBLE) AS disk_percent", "value / 10 AS load1", "value / 20 AS load5", "value / 40 AS load15",
+        "k * 3600 + sample_id % 5000 AS uptime_seconds",
+        f"IF(k % 3 = 0, array({eth0}, {eth1}, {lo}), array({eth0}, {lo})) AS network",
+        "array(named_struct('label', 'package', 'value', cast(k % 70 + 30 AS DOUBLE))) AS temperatures")
+
+
+def docker_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    def container(i: int) -> str:
+        return (
+            f"named_struct('id', concat('c{i}-', u), 'name', concat('svc', (k + {i}) % 7), 'image', 'img', "
+            f"'state', IF((k + {i}) % 3 <> 0, 'running', 'exited'), 'status', '', "
+            f"'restart_count', cast(k * {i + 1} % 6 AS INT), 'cpu_percent', cast(k * {i + 2} % 101 AS DOUBLE), "
+            f"'memory_usage_bytes', (k + 1) * {i + 1} * 1048576, 'memory_limit_bytes', 1073741824L)")
+
+    return _base(spark, sf_dir, events).filter("event_type = 'click'").selectExpr(
+        "node_id", "ts", "sample_id", f"array({container(0)}, {container(1)}, {container(2)}) AS containers")
+
+
+def service_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    return _base(spark, sf_dir, events).filter("event_type = 'signup'").selectExpr(
         "node_id", "ts", "sample_id",
-        F.lit(None).cast("string").alias("hostname"),
-        F.least(v, F.lit(100.0)).alias("cpu_percent"),
-        (u % 8 + 1).cast("int").alias("cpu_count"),
-        k.cast("double").alias("memory_percent"),
-        size.alias("memory_total_bytes"),
-        (F.expr("(u % 5 + 4) * 1073741824L div 100") * k).alias("memory_used_bytes"),
-        F.array(
-            _struct(mountpoint="/", device="/dev/sda1", used_percent=d0.cast("double"),
-                    total_bytes=(u + 100) * GB, free_bytes=F.expr("(u + 100) * 1073741824L div 101") * (101 - d0)),
-            _struct(mountpoint="/data", device="/dev/sdb1", used_percent=d1.cast("double"),
-                    total_bytes=(u + 200) * GB, free_bytes=F.expr("(u + 200) * 1073741824L div 101") * (101 - d1)),
-        ).alias("disks"),
-        d0.cast("double").alias("disk_percent"),
-        (v / 10).alias("load1"), (v / 20).alias("load5"), (v / 40).alias("load15"),
-        (k * 3600 + sid % 5000).alias("uptime_seconds"),
-        F.when(k % 3 == 0, F.array(eth0, eth1, lo)).otherwise(F.array(eth0, lo)).alias("network"),
-        F.array(_struct(label="package", value=(k % 70 + 30).cast("double"))).alias("temperatures"),
-    )
+        "array(named_struct('name', 'web', 'healthy', k % 5 <> 0), named_struct('name', 'db', 'healthy', k % 7 <> 0)) AS services")
 
 
-def docker_samples(spark, sf_dir) -> DataFrame:
-    def container(i: int) -> Column:
-        k = F.col("k")
-        return _struct(
-            id=F.concat(F.lit(f"c{i}-"), F.col("u")), name=F.concat(F.lit("svc"), (k + i) % 7), image="img",
-            state=F.when((k + i) % 3 != 0, "running").otherwise("exited"), status="",
-            restart_count=(k * (i + 1) % 6).cast("int"), cpu_percent=(k * (i + 2) % 101).cast("double"),
-            memory_usage_bytes=(k + 1) * (i + 1) * 1048576, memory_limit_bytes=F.lit(GB),
-        )
+def gpu_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    def device(i: int) -> str:
+        pct, part = f"(k * {5 + i} % 101)", 8 * GB // 101
+        return (
+            f"named_struct('index', {i}, 'name', 'GPU-{i}', 'utilization_percent', cast(k * {3 + i} % 101 AS DOUBLE), "
+            f"'memory_total_bytes', {8 * GB}L, 'memory_used_bytes', {part} * {pct}, 'memory_free_bytes', {part} * (101 - {pct}), "
+            f"'memory_used_percent', cast({pct} AS DOUBLE), 'temperature_celsius', cast(k % 60 + 40 - {i} AS DOUBLE), "
+            f"'power_watts', cast(k + 50 AS DOUBLE), 'power_limit_watts', 250D, 'fan_speed_percent', cast(k % 100 AS DOUBLE))")
 
-    return _base(spark, sf_dir).filter("event_type = 'click'").select(
-        "node_id", "ts", "sample_id", F.array(*[container(i) for i in range(3)]).alias("containers"))
+    return _base(spark, sf_dir, events).filter("event_type = 'view'").selectExpr(
+        "node_id", "ts", "sample_id", f"IF(u % 2 = 0, array({device(0)}, {device(1)}), array({device(0)})) AS devices")
 
 
-def service_samples(spark, sf_dir) -> DataFrame:
-    k = F.col("k")
-    return _base(spark, sf_dir).filter("event_type = 'signup'").select(
+def smart_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    return _base(spark, sf_dir, events).filter("event_type = 'purchase'").selectExpr(
         "node_id", "ts", "sample_id",
-        F.array(_struct(name="web", healthy=k % 5 != 0), _struct(name="db", healthy=k % 7 != 0)).alias("services"))
-
-
-def gpu_samples(spark, sf_dir) -> DataFrame:
-    def device(i: int) -> Column:
-        k, total = F.col("k"), 8 * GB
-        pct = (k * (5 + i)) % 101
-        return _struct(
-            index=F.lit(i), name=f"GPU-{i}", utilization_percent=(k * (3 + i) % 101).cast("double"),
-            memory_total_bytes=F.lit(total), memory_used_bytes=F.lit(total // 101) * pct,
-            memory_free_bytes=F.lit(total // 101) * (101 - pct), memory_used_percent=pct.cast("double"),
-            temperature_celsius=(k % 60 + 40 - i).cast("double"), power_watts=(k + 50).cast("double"),
-            power_limit_watts=F.lit(250.0), fan_speed_percent=(k % 100).cast("double"))
-
-    one, two = F.array(device(0)), F.array(device(0), device(1))
-    return _base(spark, sf_dir).filter("event_type = 'view'").select(
-        "node_id", "ts", "sample_id", F.when(F.col("u") % 2 == 0, two).otherwise(one).alias("devices"))
+        "array(named_struct('device', 'sda', 'model', 'DISK', 'healthy', IF(k % 10 = 1, null, k % 10 <> 0), "
+        "'temperature_c', cast(k % 40 + 35 AS DOUBLE), 'power_on_hours', k * 100, "
+        "'reallocated_sector_ct', greatest(k - 90, 0), 'error', IF(k % 13 = 0, 'timeout', null))) AS devices")
 
 
-def smart_samples(spark, sf_dir) -> DataFrame:
-    k = F.col("k")
-    dev = _struct(
-        device="sda", model="DISK", healthy=F.when(k % 10 == 1, F.lit(None)).otherwise(k % 10 != 0),
-        temperature_c=(k % 40 + 35).cast("double"), power_on_hours=k * 100,
-        reallocated_sector_ct=F.greatest(k - 90, F.lit(0)), error=F.when(k % 13 == 0, "timeout"))
-    return _base(spark, sf_dir).filter("event_type = 'purchase'").select(
-        "node_id", "ts", "sample_id", F.array(dev).alias("devices"))
-
-
-def zfs_samples(spark, sf_dir) -> DataFrame:
-    k = F.col("k")
-    pool = _struct(name="tank", used_percent=(k * 11 % 101).cast("double"),
-                   health=F.when(k % 6 != 0, "ONLINE").otherwise("DEGRADED"))
-    return _base(spark, sf_dir).filter("event_type = 'purchase'").select(
-        "node_id", "ts", "sample_id", F.array(pool).alias("pools"))
+def zfs_samples(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    return _base(spark, sf_dir, events).filter("event_type = 'purchase'").selectExpr(
+        "node_id", "ts", "sample_id",
+        "array(named_struct('name', 'tank', 'used_percent', cast(k * 11 % 101 AS DOUBLE), "
+        "'health', IF(k % 6 <> 0, 'ONLINE', 'DEGRADED'))) AS pools")
 
 
 def payload_lines(spark, sf_dir) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.rules import fired
+from ..operators.silver import worst_disk
 from ..sources.landing import land_payloads
 
 LATE = "10 minutes"
@@ -130,13 +132,8 @@ def cycle_firings(cycles: DataFrame, firings: DataFrame) -> DataFrame:
 
 def system_cycle_firings(samples: DataFrame) -> DataFrame:
     """The same from a stream of system samples alone: stateless, evaluated in the sample's own row."""
-    from ..operators.accounts import THRESHOLDS
-    from ..operators.rules import RULES
-    from ..operators.silver import worst_disk
-
     rows = samples.withColumn("_worst", worst_disk("disks"))
-    fired = F.array_compact(F.array(*RULES["system"](lambda key: F.lit(float(THRESHOLDS[key])))))
-    return rows.select("node_id", "ts", F.transform(fired, lambda f: F.struct(
+    return rows.select("node_id", "ts", F.transform(fired("system"), lambda f: F.struct(
         f["alert_type"].alias("alert_type"), f["severity"].alias("severity"), f["message"].alias("message"))).alias("fired"))
 
 
