@@ -91,21 +91,22 @@ def with_position(df: DataFrame, keys: list[str], ts: str, tie: str | None = Non
 def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "n") -> DataFrame:
     """Rows of the same key in (ts - seconds, ts], by the exact microsecond.
 
-    Each row goes to its own slot and, as context, to the next one; the range frame never has to look
-    further back than one slot of the same width.
+    A row enters its own slot at ts and, from the slot before, leaves at ts + seconds. With slots as wide
+    as the period the count is what the previous slot held, less those that left, plus those that entered:
+    running sums, where a sliding range frame would count its whole frame again for every row.
     """
     width = seconds * 1_000_000
     us = micros(ts)
     slot = F.floor(us / F.lit(float(width)))
-    copies = df.withColumn("_us", us).withColumn("_home", slot).withColumn(
-        "_slot", F.explode(F.array(slot, slot + 1))
-    )
-    frame = Window.partitionBy(*keys, "_slot").orderBy("_us").rangeBetween(-(width - 1), 0)
+    enter = F.struct(slot.alias("_slot"), (us * 2 + 1).alias("_at"), F.lit(1).alias("_step"))
+    leave = F.struct((slot + 1).alias("_slot"), ((us + width) * 2).alias("_at"), F.lit(-1).alias("_step"))
+    moves = df.select(*df.columns, F.explode(F.array(enter, leave)).alias("_m")).select(*df.columns, "_m.*")
+    group = Window.partitionBy(*keys, "_slot")
+    so_far = group.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.count_if(F.col("_step") < 0).over(group)
     return (
-        copies.withColumn(name, F.count(F.lit(1)).over(frame))
-        .filter(F.col("_slot") == F.col("_home"))
-        .select(*df.columns, name)
-    )
+        moves.withColumn(name, held + F.sum("_step").over(so_far))
+        .filter("_step > 0").select(*df.columns, name))
 
 
 def competition_rank(df: DataFrame, value: str, ascending: bool = False, name: str = "rank") -> DataFrame:
