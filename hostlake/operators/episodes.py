@@ -33,7 +33,10 @@ def alert_episodes(
     """
     keys = list(keys)
     item = F.struct("alert_type", "severity", "message", "value")
-    fired = firings.groupBy(*keys, "ts").agg(F.collect_list(item).alias("fired"))
+    # copies of a payload collapse in the partial set; of differing firings of one type one is kept
+    fired = firings.groupBy(*keys, "ts").agg(F.array_sort(F.collect_set(item)).alias("fired"))
+    fired = fired.withColumn("fired", F.filter("fired", lambda x, i: ~F.exists(
+        F.slice("fired", F.lit(1), i), lambda y: y["alert_type"] == x["alert_type"])))
     none = F.expr("array()").cast(fired.schema["fired"].dataType)
     rows = (
         cycles.select(*keys, "ts").distinct().join(fired, [*keys, "ts"], "left")

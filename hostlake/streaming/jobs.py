@@ -2,6 +2,10 @@
 
 Each takes a streaming DataFrame and returns one; sinks and triggers are the caller's. All are also run
 in tests against their batch twins on the same rows. Late data: a watermark of ten minutes by default.
+
+The two stateful processors go through a node's rows of one trigger in order, so the input should be
+read with maxFilesPerTrigger or maxBytesPerTrigger: that bounds what one key can hold in a task. Backfills
+over long histories belong to the batch operators, which cut hot nodes into time slots.
 """
 
 from __future__ import annotations

@@ -309,6 +309,46 @@ def test_routes(spark, text, want):
     assert df.first()["query_type"] == want
 
 
+def test_bare_host_name_is_a_status_question(spark):
+    known = frame(spark, [("pve-1", "n1")], "text STRING, node_id STRING")
+    df = Q.route_questions(frame(spark, [("pve-1",), ("other",)], "question STRING"), known=known)
+    assert values(df, "question", "query_type") == [("other", "fallback"), ("pve-1", "status")]
+
+
+def test_copies_of_a_payload_change_nothing(spark):
+    fires = [(0, "t", "w", "a")] * 5 + [(1, "t", "w", "b"), (1, "u", "w", "c")]
+    got = run_episodes(spark, [0, 0, 0, 1, 2], fires)
+    assert got == [("t", at(0), at(2), "w", "b", True), ("u", at(1), at(2), "w", "c", True)]
+
+
+def test_staged_tables(spark, tmp_path):
+    from hostlake.sources import sinks
+
+    rows = frame(spark, [("a", at(0), 1), ("b", at(1500), 2)], "node_id STRING, created_at TIMESTAMP_NTZ, v INT")
+    path = str(tmp_path / "episodes")
+    sinks.write_alert_episodes(rows, path)
+    sinks.write_alert_episodes(rows.filter("v = 2").withColumn("v", F.lit(3)), path)
+    assert values(spark.read.parquet(path), "node_id", "v") == [("a", 1), ("b", 3)]
+    kept = sinks.rewrite_kept(spark, path, str(tmp_path / "next"), lambda df: df.filter("v = 3"))
+    assert values(kept, "node_id") == [("b",)] and spark.read.parquet(path).count() == 2
+    sinks.append_by_date(rows, str(tmp_path / "facts"), "created_at")
+    assert spark.read.parquet(str(tmp_path / "facts")).count() == 2
+    logged = Q.route_questions(frame(spark, [("hello",)], "question STRING"))
+    sinks.log_questions(logged, str(tmp_path / "log"))
+    assert values(spark.read.parquet(str(tmp_path / "log")), "query_type", "matched") == [("greeting", True)]
+
+
+def test_csv_export_columns(spark, tmp_path):
+    from hostlake.plans import exports
+    from hostlake.sources import testbed as T
+
+    sf = "/root/testdata/sf0.001"
+    rows = exports.system_csv(T.system_samples(spark, sf), T.registrations(spark, sf), T.as_of(), 168)
+    exports.write_csv(rows, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert tuple(back.columns) == exports.CSV_COLUMNS and back.count() == rows.count()
+
+
 def test_canonical_terms_longest_first(spark):
     terms = {"raconte-moi": "tell me", "raconte": "tell", "der": "", "wie": "how"}
     assert one(spark, Q.canonical_terms(F.lit("Raconte-moi der  wieder raconte wie"), terms)) == "tell me wieder tell how"
