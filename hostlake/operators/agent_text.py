@@ -96,9 +96,11 @@ def parse_journal_json(lines: DataFrame, arrived: Column | None = None) -> DataF
     j = F.from_json("value", "MESSAGE STRING, _SYSTEMD_UNIT STRING, PRIORITY STRING, __REALTIME_TIMESTAMP STRING")
     us = F.col("j.__REALTIME_TIMESTAMP").try_cast("bigint")
     when = F.timestamp_micros((F.floor(us / 1_000_000) * 1_000_000).cast("bigint"))
+    # exploding keeps the message test from being pushed down as a second parse of every line
+    rest = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(*rest, j.alias("p")).select(*rest, F.explode(F.when(F.col("p.MESSAGE") != "", F.array("p"))).alias("j"))
     return (
-        lines.withColumn("j", j).filter("j.MESSAGE <> ''")
-        .select(*[c for c in lines.columns if c != "value"],
+        parsed.select(*rest,
                 F.coalesce(when, arrived if arrived is not None else F.current_timestamp()).alias("ts"),
                 F.lit("journald").alias("source"), priority_to_level("j.PRIORITY").alias("level"),
                 F.left("j.MESSAGE", F.lit(MESSAGE_LIMIT)).alias("message"),

@@ -36,6 +36,11 @@ def _first(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_m")).select(*keys, "_m.*")
 
 
+def _asked(parts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Only substrings that somebody asked for; a semi join, so nothing is multiplied."""
+    return parts.join(wanted.select(F.col(name).alias("part")), "part", "left_semi")
+
+
 def registry_order(nodes: DataFrame) -> DataFrame:
     """Hosts with their sort key: last seen first, never seen last."""
     us = F.unix_micros(F.col("last_seen").cast("timestamp"))
@@ -52,8 +57,8 @@ def match_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFr
     wanted = names.select(F.trim(F.lower(name)).alias("needle")).filter("needle <> ''").distinct()
     hosts = _first(registry_order(nodes), ["host"])
     exact = wanted.join(hosts, wanted["needle"] == hosts["host"]).withColumn("match_rank", F.lit(1))
-    inside = _first(
-        hosts.withColumn("part", F.explode(substrings(F.col("host"), _lengths(wanted, "needle")))), ["part"])
+    inside = _first(_asked(
+        hosts.withColumn("part", F.explode(substrings(F.col("host"), _lengths(wanted, "needle")))), wanted, "needle"), ["part"])
     in_host = wanted.join(inside, wanted["needle"] == inside["part"]).drop("part").withColumn("match_rank", F.lit(2))
     pieces = wanted.withColumn("piece", F.explode(substrings(F.col("needle"), _lengths(hosts, "host"))))
     has_host = pieces.join(hosts, pieces["piece"] == hosts["host"]).drop("piece").withColumn("match_rank", F.lit(2))
@@ -77,13 +82,12 @@ def extract_node_name(texts: DataFrame, nodes: DataFrame, text: str = "text") ->
     parts = hosts_all.select(
         "node_id", "hostname", "ord",
         F.explode(substrings(F.col("host"), _lengths(vocabulary, "word"))).alias("part"))
-    # counted per substring first, so a part shared by very many hosts is one row when it meets the words
-    once = parts.groupBy("part").agg(
+    # counted per substring, so a part shared by very many hosts is one row when it meets the words
+    once = _asked(parts, vocabulary, "word").groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), F.first("node_id").alias("node_id"), F.first("hostname").alias("hostname"),
         F.first("ord").alias("ord")).filter("n = 1")
-    unique = once.join(vocabulary, once["part"] == vocabulary["word"], "left_semi")
     tokens = wanted.withColumn("token", F.explode(F.array_distinct(F.split("body", r"(?U)[^\w]+"))))
-    by_word = tokens.join(unique, tokens["token"] == unique["part"]).select("body", "node_id", "hostname", "ord")
+    by_word = tokens.join(once, tokens["token"] == once["part"]).select("body", "node_id", "hostname", "ord")
     best = _first(whole.unionByName(by_word), ["body"])
     return texts.join(best.drop("ord"), low == best["body"]).drop("body")
 
@@ -96,8 +100,8 @@ def find_container(names: DataFrame, containers: DataFrame, nodes: DataFrame, na
         F.lower("name").alias("cname"))
     listed = rows.join(registry_order(nodes).select("node_id", "hostname", "ord"), "node_id")
     firsts = _first(listed, ["cname"], F.col("ord"), F.col("node_id"), F.col("pos"))
-    inside = _first(firsts.withColumn("part", F.explode(substrings(F.col("cname"), _lengths(wanted, "needle", MAX_CONTAINER)))),
-                    ["part"], F.col("ord"), F.col("node_id"), F.col("pos"))
+    parts = firsts.withColumn("part", F.explode(substrings(F.col("cname"), _lengths(wanted, "needle", MAX_CONTAINER))))
+    inside = _first(_asked(parts, wanted, "needle"), ["part"], F.col("ord"), F.col("node_id"), F.col("pos"))
     a = wanted.join(inside, wanted["needle"] == inside["part"])
     pieces = wanted.withColumn("piece", F.explode(substrings(F.col("needle"), _lengths(firsts, "cname", MAX_CONTAINER))))
     b = pieces.join(firsts, pieces["piece"] == firsts["cname"])

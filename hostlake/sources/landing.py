@@ -31,17 +31,16 @@ def land_payloads(raw: DataFrame, arrived_at: Column | None = None) -> DataFrame
     arrived = F.current_timestamp() if arrived_at is None else arrived_at
     rest = [c for c in raw.columns if c != "value"]
     ts = F.coalesce(F.try_to_timestamp(F.col("p.timestamp")), arrived)
-    return (
-        _parsed(raw, PAYLOAD)
-        .filter("coalesce(p.node_id, p.lab_id) is not null")
-        .select(
-            F.coalesce("p.node_id", "p.lab_id").alias("node_id"),
-            ts.cast("timestamp").alias("ts"),
-            F.col("p.hostname").alias("hostname"),
-            arrived.cast("timestamp").alias("ingested_at"),
-            *rest,
-            F.explode("p.collectors").alias("metric_type", "data"),
-        )
+    sender = F.coalesce("p.node_id", "p.lab_id")
+    # A filter on the sender would be pushed below the projection and parse every line a second time;
+    # without a sender there is nothing to explode.
+    return _parsed(raw, PAYLOAD).select(
+        sender.alias("node_id"),
+        ts.cast("timestamp").alias("ts"),
+        F.col("p.hostname").alias("hostname"),
+        arrived.cast("timestamp").alias("ingested_at"),
+        *rest,
+        F.explode(F.when(sender.isNotNull(), F.col("p.collectors"))).alias("metric_type", "data"),
     )
 
 
@@ -64,11 +63,11 @@ def normalise_logs(df: DataFrame, arrived: str | Column = "arrived_at") -> DataF
 def land_logs(raw: DataFrame, arrived_at: Column | None = None) -> DataFrame:
     """logs(node_id, ts, source, level, message, unit, arrived_at): a row per pushed entry."""
     arrived = (F.current_timestamp() if arrived_at is None else arrived_at).cast("timestamp")
+    sender = F.coalesce("p.node_id", "p.lab_id")
     rows = (
         _parsed(raw, LOG_PUSH)
-        .filter("coalesce(p.node_id, p.lab_id) is not null")
-        .select(F.coalesce("p.node_id", "p.lab_id").alias("node_id"), arrived.alias("arrived_at"),
-                F.explode("p.entries").alias("e"))
+        .select(sender.alias("node_id"), arrived.alias("arrived_at"),
+                F.explode(F.when(sender.isNotNull(), F.col("p.entries"))).alias("e"))
         .select("node_id", "arrived_at", F.try_to_timestamp(F.col("e.ts")).cast("timestamp").alias("ts"),
                 "e.source", "e.level", "e.message", "e.unit")
     )
