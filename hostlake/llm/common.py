@@ -182,6 +182,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, step
     return np.concatenate(found), np.searchsorted(starts, rows).astype(np.int64), np.concatenate(kinds)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Hash of each span of bytes as they are; starts and ends ascend. Works on about step bytes at a time."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + step, "right")))
+        hi = int(ends[j - 1])
+        up, down = _power_tables(hi - lo)
+        sums = np.zeros(hi - lo + 1, U64)
+        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * up[:hi - lo], out=sums[1:])
+        s = starts[i:j] - lo
+        out[i:j] = mix((sums[ends[i:j] - lo] - sums[s]) * down[s])
+        i = j
+    return out
+
+
 _STEP = U64(0xD1342543DE82EF95)
 
 
