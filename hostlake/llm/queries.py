@@ -1,4 +1,4 @@
 """Imports every operator module, so that all queries are registered."""
 
-from hostlake.llm import decontaminate, mixing, near_dedup, packing, quality  # noqa: F401
+from hostlake.llm import decontaminate, mixing, near_dedup, packing, quality, secrets  # noqa: F401
 from hostlake.llm.common import QUERIES, SQL  # noqa: F401
