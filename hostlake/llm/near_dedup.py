@@ -4,10 +4,10 @@ Permutation `sigma` scatters a document's shingles over a universe of 2 ** 20 ce
 `pi`, shifted circularly by k, gives to an occupied cell. The shifts of a cell are one contiguous slice of pi, so a shingle costs
 one copy of a slice instead of 128 hash functions. Bands of coordinates propose pairs; the full shingle sets decide.
 
-Documents with equal sets are one class. Within a bucket the classes are first held against one leader; where a bucket still
-spans several components, its other pairs across components are held against each other, after a large bucket has been dealt
-out again by a second band (a linked pair shares about ten bands of 32). No pair is emitted inside a component, and nothing is
-capped. A pair at similarity 0.75 exactly is missed with a probability of about 1e-5 for each link.
+Documents with equal sets are one class. Within a bucket the classes are first held against one leader. Where a bucket still
+spans several components, the members outside its main component are held against changing hubs of the main component, a
+linear number of pairs each round; then all pairs across components that are left, after a large bucket has been dealt out again
+by a second band (a linked pair shares about ten bands of 32). No pair is emitted inside a component, and nothing is capped. A pair at similarity 0.75 exactly is missed with a probability of about 1e-5 for each link.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from hostlake.llm.common import (U64, byte_classes, in_bits, membership_bits, mi
 SHINGLE = 5
 UNIVERSE_BITS = 20
 BANDS, BAND_ROWS = 32, 4
-LARGE_BUCKET = 48
+LARGE_BUCKET = 16
+HUB_ROUNDS = 8
 SEED = 20240
 
 
@@ -127,19 +128,31 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = labels.select("id", "label")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, percent: int, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets reach the similarity."""
-    pairs = written(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ids, from one more pass over the texts."""
     bits = membership_bits(ids, "id")
-    sets = (documents.select("doc_id", "text").mapInArrow(_sets_of(bits), "id long, shingles array<long>").join(ids, "id", "left_semi")
-            .dropDuplicates(["id"]))
-    sets = written(sets, f"{name}-sets")
+    sets = documents.mapInArrow(_sets_of(bits), "id long, shingles array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return written(sets, "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full shingle sets reach the similarity."""
     held = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
     na, nb, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
     near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)  # the smaller set inside the larger one at best
-    return written(held.where(near).where(100 * both >= percent * (na + nb - both)).select("a", "b"), f"{name}-links")
+    return written(held.where(near).where(100 * both >= percent * (na + nb - both)).select("a", "b"), "links")
+
+
+def _spanning(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, component, size, main) of the buckets that span components; main: the component with most members."""
+    placed = members.select("key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component"))
+    by = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    spans = by.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"),
+                                  F.max(F.struct("n", F.negate("component").alias("c"))).alias("most")).where("size * size > inside")
+    spans = spans.select("key", "size", (-F.col("most.c")).alias("main"), ((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("across"))
+    return written(placed.join(spans, "key"), "spans")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -151,34 +164,45 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     counting. A null doc_id is a row of its own with a null component, kept. n_links: classes linked with the document's class
     among the verified pairs. An empty table gives an empty result; other columns are ignored.
     """
-    sig = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                  .mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sig")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sig = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sig")
     keys = ["n_shingles", "f1", "f2"]
-    firsts = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    firsts = written(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "firsts")
     classed = written(sig.join(firsts, keys, "left").select(
         "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
 
     banded = classed.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    members = written(banded.join(crowded.select("key", "lead"), "key").select("key", "lead", "rep").distinct(), "members")
-    led = members.where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _verified(led, docs, percent, "led")
-    comps = components(links, "first")
-
-    # Buckets that still span components: all pairs across components, large buckets dealt out by a second band first.
-    placed = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
-    spans = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    placed = written(placed.join(spans.select("key", "size"), "key"), "spans")
-    large = (placed.where(F.col("size") > LARGE_BUCKET).join(members.select("rep", F.col("key").alias("second")), "rep")
+    crowded = written(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"), "crowded")
+    members = written(banded.join(crowded, "key").select("key", "lead", "rep").distinct(), "members")
+    sets = _sets(members.select(F.col("rep").alias("id")).distinct(), docs)
+    links = _verified(members.where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)
+    comps = components(links, "led")
+
+    # Buckets that still span components: their other members against a hub of the main component, another hub each round,
+    # as long as that links anything and the pairs left outnumber the members.
+    spans = _spanning(members, comps)
+    for turn in range(HUB_ROUNDS):
+        left = spans.dropDuplicates(["key"]).agg(F.sum("across").alias("pairs"), F.sum("size").alias("members")).first()
+        if not left["pairs"] or left["pairs"] <= 2 * left["members"]:
+            break
+        hubs = (spans.where("component = main").groupBy("key")
+                .agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"))).alias("hub")).select("key", "hub.hub"))
+        pairs = spans.where("component <> main").join(hubs, "key").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+        found = _verified(pairs, sets, percent)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        comps = components(links, f"hub{turn}")
+        spans = _spanning(members, comps)
+
+    # The rest: all pairs across components, large buckets dealt out by a second band first.
+    large = (spans.where(F.col("size") > LARGE_BUCKET).join(members.select("rep", F.col("key").alias("second")), "rep")
              .where("second <> key").select(F.xxhash64("key", "second").alias("key"), "rep", "component"))
     sized = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    fine = placed.where(F.col("size") <= LARGE_BUCKET).select("key", "rep", "component").unionByName(large.join(sized.select("key"), "key", "left_semi"))
+    fine = spans.where(F.col("size") <= LARGE_BUCKET).select("key", "rep", "component").unionByName(large.join(sized.select("key"), "key", "left_semi"))
     left, right = (fine.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-    across = (left.join(right, "key").where("a > b AND ca <> cb").select("a", "b").distinct().join(led, ["a", "b"], "left_anti"))
-    more = _verified(across, docs, percent, "across")
-    links = links.unionByName(more)
+    across = left.join(right, "key").where("a > b AND ca <> cb").select("a", "b").distinct()
+    links = written(links.unionByName(_verified(across, sets, percent)).distinct(), "all-links")
     comps = components(links, "final")
 
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
