@@ -153,5 +153,6 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named = with_domain(docs)
     turns = mix(named).groupBy("doc_id").agg(F.collect_set("epoch").alias("turns"))
-    out = docs.join(turns, docs["doc_id"].eqNullSafe(turns["doc_id"])).drop(turns["doc_id"])
-    return out.withColumn("turn", F.explode("turns")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    out = rows.join(turns, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return out.select("row", F.explode("turns")).select("row.*")
