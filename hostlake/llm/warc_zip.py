@@ -182,13 +182,14 @@ def write_packages(pages: DataFrame, min_bytes: int = 0, package_bytes: int = PA
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha", F.sha1("html"))
-    ids = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes))
-    firsts = written(ids.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
+    long_ = rows.where(F.col("size") >= min_bytes)
+    firsts = long_.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    firsts = written(firsts.drop("n"), "warc-firsts")
     met = rows.join(firsts, ["sha", "size"], "left")
     is_first = F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     response = F.when(F.col("first").isNotNull() & ~is_first, F.col("first"))
     # rows that repeat the first page's id: one stays a response
-    again = written(ids.groupBy("page_id", "sha", "size").agg(F.count("*").alias("n")).where("n > 1").select("page_id", "sha", "size"), "warc-again")
+    again = written(long_.where("page_id IS NOT NULL").groupBy("page_id", "sha", "size").agg(F.count("*").alias("n")).where("n > 1").select("page_id", "sha", "size"), "warc-again")
     if not again.isEmpty():
         held = met.join(again.withColumn("again", F.lit(True)), ["page_id", "sha", "size"], "left")
         repeated = held.where("again AND page_id = first")
