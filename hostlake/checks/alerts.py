@@ -219,6 +219,21 @@ def _(spark, d):
     return R.alerts_report(T.alerts(spark, d), T.as_of(), recent=True)
 
 
+@query("alerts_report_active_rows", "SELECT al.*, hostname FROM al JOIN reg USING (node_id) WHERE resolved_at IS NULL ORDER BY created_at DESC, alert_id DESC LIMIT 8")
+def _(spark, d):
+    return R.newest_alerts(T.alerts(spark, d), T.registrations(spark, d), T.as_of())
+
+
+@query("alerts_report_recent_rows", f"SELECT al.*, hostname FROM al JOIN reg USING (node_id) WHERE created_at BETWEEN {AS_OF} - INTERVAL 24 HOUR AND {AS_OF} ORDER BY created_at DESC, alert_id DESC LIMIT 5")
+def _(spark, d):
+    return R.newest_alerts(T.alerts(spark, d), T.registrations(spark, d), T.as_of(), recent=True)
+
+
+@query("active_feed", "SELECT al.*, hostname FROM al JOIN reg USING (node_id) WHERE resolved_at IS NULL ORDER BY created_at DESC, alert_id DESC LIMIT 15")
+def _(spark, d):
+    return R.alert_feed(T.alerts(spark, d), T.registrations(spark, d), 15, active_only=True)
+
+
 @query("time_range_report", f"""SELECT alert_type, count(*) AS fired, count(resolved_at) AS resolved, count(*) - count(resolved_at) AS active,
     count(*) FILTER (severity = 'critical') AS critical FROM al WHERE created_at BETWEEN {AS_OF} - INTERVAL 200 HOUR AND {AS_OF} GROUP BY 1""")
 def _(spark, d):

@@ -29,14 +29,15 @@ def _word(c: str, words: str, target: str) -> str:
 
 def typos_sql(c: str) -> str:
     for word, wrong in Q.TYPOS.items():
-        c = _word(c, "|".join(wrong.split()), word)
+        c = _word(c, "|".join(wrong), word)
     return c
 
 
 def terms_sql(c: str) -> str:
     """No value of the vocabulary is itself a key in the tests, so words can be replaced one target at a time."""
-    for target, ws in Q.CORE_TERMS.items():
-        c = _word(c, "|".join(sorted(ws.split(), key=len, reverse=True)), target)
+    for target in dict.fromkeys(Q.CORE_TERMS.values()):
+        words = [w for w, t in Q.CORE_TERMS.items() if t == target]
+        c = _word(c, "|".join(sorted(words, key=len, reverse=True)), target)
     return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
 
@@ -126,3 +127,8 @@ NAMED = f"""x AS (SELECT DISTINCT lower(question) AS body FROM q), o AS (SELECT
 @query("extract_node_name", f"WITH {QS}, {NAMED} SELECT question_id, question, node_id, hostname FROM q JOIN (SELECT body, min(ord) AS ord FROM hit GROUP BY 1) b ON b.body = lower(question) JOIN o USING (ord)")
 def _(spark, d):
     return names.extract_node_name(T.questions(spark, d), T.nodes(spark, d), "question")
+
+
+@query("extract_node_name_documents", f"WITH q AS (SELECT doc_id AS question_id, text AS question FROM documents), {NAMED} SELECT question_id, node_id, hostname FROM q JOIN (SELECT body, min(ord) AS ord FROM hit GROUP BY 1) b ON b.body = lower(question) JOIN o USING (ord)")
+def _(spark, d):
+    return names.extract_node_name(T.table(spark, d, "documents"), T.nodes(spark, d), "text").select(F.col("doc_id").alias("question_id"), "node_id", "hostname")

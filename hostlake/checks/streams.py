@@ -68,3 +68,16 @@ def _(spark, d):
 def _(spark, d):
     jobs.use_rocksdb(spark)
     return plain(drain(jobs.episode_stream(jobs.system_cycle_firings(samples(spark, d))), "episodes")).drop("message")
+
+
+@query("stream_offline", f"""WITH g AS (SELECT node_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY node_id ORDER BY ts) AS nx FROM (SELECT DISTINCT node_id, ts FROM s)),
+    o AS (SELECT *, CAST(ceil((us + 43200000000) / 120000000.0) AS BIGINT) * 120000000 AS op, CAST(ceil(nx / 120000000.0) AS BIGINT) * 120000000 AS cl FROM g),
+    k AS (SELECT * FROM o WHERE CASE WHEN nx IS NULL THEN op <= epoch_us({WM}) ELSE op < nx END)
+    SELECT node_id, 'opened' AS event, make_timestamp(op) AS at, make_timestamp(op) AS created_at FROM k UNION ALL
+    SELECT node_id, 'resolved', make_timestamp(cl), make_timestamp(op) FROM k WHERE nx IS NOT NULL""")
+def _(spark, d):
+    """No payload fires anything here; a node counts as offline after 12 hours."""
+    jobs.use_rocksdb(spark)
+    none = F.expr("array()").cast("array<struct<alert_type:string,severity:string,message:string>>")
+    rows = samples(spark, d).select("node_id", "ts", none.alias("fired"))
+    return plain(drain(jobs.episode_stream(rows, offline_minutes=720), "offline")).select("node_id", "event", "at", "created_at")

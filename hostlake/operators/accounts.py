@@ -34,9 +34,15 @@ def nodes_of_account(nodes: DataFrame, ownership: DataFrame) -> DataFrame:
     return nodes.join(ownership.select("account", "node_id"), "node_id")
 
 
+def owner_of_node(ownership: DataFrame) -> DataFrame:
+    """One registration per node, the newest: a node can be registered again, and facts must not be multiplied by that."""
+    order = [c for c in ("created_at", "account") if c in ownership.columns]
+    return latest_row(ownership, ["node_id"], order)
+
+
 def node_plan(nodes: DataFrame, ownership: DataFrame) -> DataFrame:
-    """Plan stored with the node's own registration, the default when there is none."""
-    own = ownership.select("node_id", "plan")
+    """Plan stored with the node's newest registration, the default when there is none."""
+    own = owner_of_node(ownership).select("node_id", "plan")
     return nodes.select("node_id").join(own, "node_id", "left").withColumn(
         "plan", F.coalesce("plan", F.lit(DEFAULT_PLAN)))
 
@@ -62,7 +68,7 @@ def threshold_cascade(nodes: DataFrame, ownership: DataFrame, preferences: DataF
     glob = preferences.filter("node_id is null").select("account", F.col("data").alias("g"))
     local = preferences.filter("node_id is not null").select("account", "node_id", F.col("data").alias("l"))
     owned = (
-        nodes.select("node_id").join(ownership.select("account", "node_id"), "node_id", "left")
+        nodes.select("node_id").join(owner_of_node(ownership).select("account", "node_id"), "node_id", "left")
         .join(glob, "account", "left").join(local, ["account", "node_id"], "left"))
     return owned.select("node_id", *[
         F.coalesce(F.col("l")[k], F.col("g")[k], F.lit(float(v))).alias(k) for k, v in THRESHOLDS.items()])

@@ -1,8 +1,9 @@
-"""Fuzzy matching of names and texts with host and container names, as equi-joins on substrings.
+"""Fuzzy matching of names and texts with host and container names, as equi-joins on short grams.
 
-"A contains B" is decided by listing the substrings of A that have one of the lengths B can have and
-joining them with B by equality, so no pair of a name and a host is formed unless it matches. Names are
-made distinct first, and hosts are reduced to the first one per joined substring.
+"A contains B" is decided at an anchor: of the grams of a name (8 characters, 4 or the whole name if it is shorter), the one that the
+fewest names have. Texts give one row per position and gram length; only where a gram is an anchor is the whole name compared,
+in place. Names have any length; nothing is collected, and no pair of a name and a text is formed unless the anchor meets.
+Names are made distinct first, and hosts are reduced to the first one per joined name.
 """
 
 from __future__ import annotations
@@ -10,23 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_NAME = 64  # host names are cut to 64 characters on registration
-MAX_CONTAINER = 1024
 WORDS = r"[-_.\s]+"
-
-
-def _lengths(df: DataFrame, c: str, longest: int = MAX_NAME) -> list[int]:
-    """Distinct lengths of a name column, at most `longest` small numbers."""
-    rows = df.select(F.length(c).alias("n")).filter(F.col("n").between(1, longest)).distinct().collect()
-    return sorted(r["n"] for r in rows)
-
-
-def substrings(c: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of c that have one of the lengths."""
-    arr = F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("array()").cast("array<int>")
-    fit = F.filter(arr, lambda n: n <= F.length(c))
-    return F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))))
+GRAMS = (8, 4, 3, 2, 1)
+BLOCK = 256  # characters that one step of the walk over a text looks at
+
+
+def _grams(df: DataFrame, c: str, lengths: Column, *keys: str) -> DataFrame:
+    """(keys, at, gram): grams of c of the given lengths by their first position, from blocks that overlap by a gram."""
+    blocks = df.filter(F.length(c) > 0).select(
+        *keys, lengths.alias("_lengths"), F.length(c).alias("_n"), F.col(c).alias("_c"),
+        F.explode(F.sequence(F.lit(1), F.length(c), F.lit(BLOCK))).alias("_b"))
+    blocks = blocks.select(*keys, "_lengths", "_b", F.least(F.lit(BLOCK), F.col("_n") - F.col("_b") + 1).alias("_size"),
+                           F.col("_c").substr(F.col("_b"), F.lit(BLOCK + max(GRAMS) - 1)).alias("_block"))
+    walked = blocks.select(*keys, "_lengths", "_b", "_block", F.explode(F.sequence(F.lit(1), "_size")).alias("_i"))
+    rows = walked.select(*keys, "_b", "_block", "_i", F.explode("_lengths").alias("_g")).select(
+        *keys, (F.col("_b") + F.col("_i") - 1).alias("at"), F.col("_block").substr(F.col("_i"), F.col("_g")).alias("gram"), "_g")
+    return rows.filter(F.length("gram") == F.col("_g")).drop("_g")
+
+
+def _anchors(names: DataFrame, c: str) -> DataFrame:
+    """(c, gram, anchor_at): the rarest gram of every distinct name and its first position there."""
+    n = F.length(c)
+    own = F.array(F.when(n >= 8, 8).when(n >= 4, 4).otherwise(n))
+    grams = _grams(names.select(c).distinct(), c, own, c)
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_shared"))
+    rarest = F.min_by(F.struct("gram", F.col("at").alias("anchor_at")), F.struct("_shared", "at"))
+    return grams.join(shared, "gram").groupBy(c).agg(rarest.alias("_a")).select(c, "_a.*")
+
+
+def contained(texts: DataFrame, body: str, names: DataFrame, name: str) -> DataFrame:
+    """(body, name): every distinct text with every name that occurs in it. Empty and null strings match nothing."""
+    bodies = texts.select(body).filter(F.length(body) > 0).distinct().withColumn("_key", F.md5(body))
+    grams = _grams(bodies, body, F.array(*map(F.lit, GRAMS)), "_key")
+    met = grams.join(_anchors(names, name), "gram").select(
+        "_key", name, (F.col("at") - F.col("anchor_at") + 1).alias("_from")).filter("_from > 0").distinct()
+    here = met.join(bodies, "_key").filter(F.col(body).substr(F.col("_from"), F.length(name)) == F.col(name))
+    return here.select(body, name).distinct()
 
 
 def _first(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
@@ -36,11 +56,6 @@ def _first(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_m")).select(*keys, "_m.*")
 
 
-def _asked(parts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """Only substrings that somebody asked for; a semi join, so nothing is multiplied."""
-    return parts.join(wanted.select(F.col(name).alias("part")), "part", "left_semi")
-
-
 def registry_order(nodes: DataFrame) -> DataFrame:
     """Hosts with their sort key: last seen first, never seen last."""
     us = F.unix_micros(F.col("last_seen").cast("timestamp"))
@@ -57,11 +72,8 @@ def match_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFr
     wanted = names.select(F.trim(F.lower(name)).alias("needle")).filter("needle <> ''").distinct()
     hosts = _first(registry_order(nodes), ["host"])
     exact = wanted.join(hosts, wanted["needle"] == hosts["host"]).withColumn("match_rank", F.lit(1))
-    inside = _first(_asked(
-        hosts.withColumn("part", F.explode(substrings(F.col("host"), _lengths(wanted, "needle")))), wanted, "needle"), ["part"])
-    in_host = wanted.join(inside, wanted["needle"] == inside["part"]).drop("part").withColumn("match_rank", F.lit(2))
-    pieces = wanted.withColumn("piece", F.explode(substrings(F.col("needle"), _lengths(hosts, "host"))))
-    has_host = pieces.join(hosts, pieces["piece"] == hosts["host"]).drop("piece").withColumn("match_rank", F.lit(2))
+    in_host = contained(hosts, "host", wanted, "needle").join(hosts, "host").withColumn("match_rank", F.lit(2))
+    has_host = contained(wanted, "needle", hosts, "host").join(hosts, "host").withColumn("match_rank", F.lit(2))
     cols = ["needle", "node_id", "hostname", "ord", "match_rank"]
     hits = exact.select(*cols).unionByName(in_host.select(*cols)).unionByName(has_host.select(*cols))
     best = _first(hits, ["needle"], F.col("match_rank"))
@@ -74,20 +86,16 @@ def extract_node_name(texts: DataFrame, nodes: DataFrame, text: str = "text") ->
     wanted = texts.select(low.alias("body")).distinct()
     hosts_all = registry_order(nodes)
     hosts = _first(hosts_all, ["host"])
-    pieces = wanted.withColumn("piece", F.explode(substrings(F.col("body"), _lengths(hosts, "host"))))
-    whole = pieces.join(hosts, pieces["piece"] == hosts["host"]).select("body", "node_id", "hostname", "ord")
+    whole = contained(wanted, "body", hosts, "host").join(hosts, "host").select("body", "node_id", "hostname", "ord")
 
     words = hosts_all.select("host", F.explode(F.split("host", WORDS)).alias("word")).filter(F.length("word") >= 3)
     vocabulary = words.select("word").distinct()
-    parts = hosts_all.select(
-        "node_id", "hostname", "ord",
-        F.explode(substrings(F.col("host"), _lengths(vocabulary, "word"))).alias("part"))
-    # counted per substring, so a part shared by very many hosts is one row when it meets the words
-    once = _asked(parts, vocabulary, "word").groupBy("part").agg(
+    # counted per word, so a word that very many hosts contain is one row when it meets the texts
+    once = (contained(hosts_all, "host", vocabulary, "word").join(hosts_all, "host").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.first("node_id").alias("node_id"), F.first("hostname").alias("hostname"),
-        F.first("ord").alias("ord")).filter("n = 1")
+        F.first("ord").alias("ord")).filter("n = 1"))
     tokens = wanted.withColumn("token", F.explode(F.array_distinct(F.split("body", r"(?U)[^\w]+"))))
-    by_word = tokens.join(once, tokens["token"] == once["part"]).select("body", "node_id", "hostname", "ord")
+    by_word = tokens.join(once, tokens["token"] == once["word"]).select("body", "node_id", "hostname", "ord")
     best = _first(whole.unionByName(by_word), ["body"])
     return texts.join(best.drop("ord"), low == best["body"]).drop("body")
 
@@ -100,11 +108,8 @@ def find_container(names: DataFrame, containers: DataFrame, nodes: DataFrame, na
         F.lower("name").alias("cname"))
     listed = rows.join(registry_order(nodes).select("node_id", "hostname", "ord"), "node_id")
     firsts = _first(listed, ["cname"], F.col("ord"), F.col("node_id"), F.col("pos"))
-    parts = firsts.withColumn("part", F.explode(substrings(F.col("cname"), _lengths(wanted, "needle", MAX_CONTAINER))))
-    inside = _first(_asked(parts, wanted, "needle"), ["part"], F.col("ord"), F.col("node_id"), F.col("pos"))
-    a = wanted.join(inside, wanted["needle"] == inside["part"])
-    pieces = wanted.withColumn("piece", F.explode(substrings(F.col("needle"), _lengths(firsts, "cname", MAX_CONTAINER))))
-    b = pieces.join(firsts, pieces["piece"] == firsts["cname"])
+    a = contained(firsts, "cname", wanted, "needle").join(firsts, "cname")
+    b = contained(wanted, "needle", firsts, "cname").join(firsts, "cname")
     cols = ["needle", "node_id", "hostname", "ord", "pos", "container", "state", "status", "restart_count"]
     best = _first(a.select(*cols).unionByName(b.select(*cols)), ["needle"], F.col("ord"), F.col("node_id"), F.col("pos"))
     return names.join(best.drop("ord", "pos"), F.lower(name) == best["needle"]).drop("needle")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros
-from .accounts import DEFAULT_PLAN, LOG_HOURS, METRIC_HOURS, node_plan, plan_hours, plan_of_account
+from .accounts import DEFAULT_PLAN, LOG_HOURS, METRIC_HOURS, owner_of_node, plan_hours, plan_of_account
 
 
 def _expired(ts: str, hours: Column, as_of: Column) -> Column:
@@ -20,14 +20,15 @@ def _split(facts: DataFrame, hours_by_node: DataFrame, as_of: Column, ts: str, d
 
 
 def metric_windows(nodes: DataFrame, ownership: DataFrame, limits: dict[str, int] = METRIC_HOURS) -> DataFrame:
-    """Hours kept per node, from the plan of the node's own registration; defaults are left out."""
-    return node_plan(nodes, ownership).select("node_id", plan_hours("plan", limits).alias("hours")).filter(
-        F.col("hours") != limits[DEFAULT_PLAN])
+    """Hours kept per node, the fewest of its registrations' plans; defaults are left out."""
+    plan = F.coalesce("plan", F.lit(DEFAULT_PLAN))
+    hours = ownership.groupBy("node_id").agg(F.min(plan_hours(plan, limits)).alias("hours"))
+    return nodes.select("node_id").distinct().join(hours, "node_id").filter(F.col("hours") != limits[DEFAULT_PLAN])
 
 
 def log_windows(nodes: DataFrame, ownership: DataFrame, limits: dict[str, int] = LOG_HOURS) -> DataFrame:
-    """Hours kept per registered node, from the latest plan of the account that owns it."""
-    owned = nodes.select("node_id").join(ownership.select("node_id", "account"), "node_id", "left")
+    """Hours kept per registered node, from the latest plan of the account that owns it (by its newest registration)."""
+    owned = nodes.select("node_id").distinct().join(owner_of_node(ownership).select("node_id", "account"), "node_id", "left")
     plans = owned.join(plan_of_account(ownership), "account", "left").select(
         "node_id", F.coalesce("plan", F.lit(DEFAULT_PLAN)).alias("plan"))
     return plans.select("node_id", plan_hours("plan", limits).alias("hours"))

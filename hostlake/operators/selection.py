@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.scalars import shift
 
 
+def from_time(df: DataFrame, ts: str, bound: Column, strict: bool = False) -> DataFrame:
+    """Rows at or after the bound. Tables with a `date` partition get the same bound in days, which prunes their folders."""
+    if "date" in df.columns:
+        df = df.filter(F.col("date") >= F.to_date(bound))
+    return df.filter(F.col(ts) > bound if strict else F.col(ts) >= bound)
+
+
+def until_time(df: DataFrame, ts: str, bound: Column) -> DataFrame:
+    """Rows at or before the bound, pruned likewise."""
+    if "date" in df.columns:
+        df = df.filter(F.col("date") <= F.to_date(bound))
+    return df.filter(F.col(ts) <= bound)
+
+
 def window_since(df: DataFrame, hours: int, as_of: Column, ts: str = "ts") -> DataFrame:
     """Rows strictly younger than `hours` before as_of."""
-    return df.filter(F.col(ts) > shift(as_of, hours=-hours))
+    return from_time(df, ts, shift(as_of, hours=-hours), strict=True)
 
 
 def alerts_in_range(alerts: DataFrame, node: str | None = None, start: Column | None = None,
@@ -19,9 +33,9 @@ def alerts_in_range(alerts: DataFrame, node: str | None = None, start: Column |
     if node is not None:
         alerts = alerts.filter(F.col("node_id") == node)
     if start is not None:
-        alerts = alerts.filter(F.col("created_at") >= start)
+        alerts = from_time(alerts, "created_at", start)
     if end is not None:
-        alerts = alerts.filter(F.col("created_at") <= end)
+        alerts = until_time(alerts, "created_at", end)
     alerts = alerts.orderBy(F.desc("created_at"), F.desc("alert_id"))
     return alerts if limit is None else alerts.limit(limit)
 
@@ -43,9 +57,9 @@ def get_logs(logs: DataFrame, node: str | None = None, level: str | None = None,
     if source:
         logs = logs.filter(F.col("source") == source)
     if since is not None:
-        logs = logs.filter(F.col("ts") >= since)
+        logs = from_time(logs, "ts", since)
     if until is not None:
-        logs = logs.filter(F.col("ts") <= until)
+        logs = until_time(logs, "ts", until)
     page = logs.orderBy(F.desc("ts"), F.desc("log_id")).offset(max(0, offset))
     return page.limit(max(1, min(limit, 1000)))
 

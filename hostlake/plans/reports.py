@@ -199,6 +199,12 @@ def alerts_report(alerts: DataFrame, as_of: Column, recent: bool = False) -> Dat
     return severity_breakdown(rows)
 
 
+def newest_alerts(alerts: DataFrame, nodes: DataFrame, as_of: Column, recent: bool = False) -> DataFrame:
+    """The rows that the alerts report shows: the 8 newest active alerts, or the 5 newest of the last 24 hours."""
+    rows = alerts_in_range(alerts, start=shift(as_of, hours=-24), end=as_of) if recent else alerts
+    return alert_feed(rows, nodes, 5 if recent else 8, active_only=not recent)
+
+
 def alert_feed(alerts: DataFrame, nodes: DataFrame, limit: int = 20, active_only: bool = False) -> DataFrame:
     """Newest alerts of registered nodes; limit within 1..100, applied after the filters."""
     rows = active_alerts(alerts) if active_only else alerts

@@ -11,10 +11,9 @@ def with_date(df: DataFrame, ts: str) -> DataFrame:
 
 
 def append_by_date(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Appends rows under date=... folders. One shuffle by date and a salt keeps files large and days spread."""
-    dated = with_date(df, ts)
-    salted = dated.repartition("date", F.pmod(F.hash("node_id", ts), F.lit(16)))
-    salted.write.mode("append").partitionBy("date").parquet(path)
+    """Appends rows under date=... folders: rebalanced by date, so that a large day becomes several tasks, sorted inside files."""
+    dated = with_date(df, ts).hint("rebalance", F.col("date"))
+    dated.sortWithinPartitions("date", "node_id", ts).write.mode("append").partitionBy("date").parquet(path)
 
 
 def replace_dates(df: DataFrame, path: str, ts: str = "created_at") -> None:
@@ -22,6 +21,54 @@ def replace_dates(df: DataFrame, path: str, ts: str = "created_at") -> None:
     with_date(df, ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+def _dates_on_disk(spark: SparkSession, path: str) -> dict[str, object]:
+    """The date folders of a table with their paths, from one listing of the table's folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(root) if fs.exists(root) else []
+    return {f.getPath().getName()[5:]: f.getPath() for f in found if f.getPath().getName().startswith("date=")}
+
+
+def expire_dates(spark: SparkSession, path: str, staged: str, keep, as_of, shortest_hours: int, longest_hours: int) -> dict[str, list[str]]:
+    """Retention that touches only dates that can hold expired rows.
+
+    Dates younger than the shortest window stay as they are; dates older than the longest one go as folders, unread. Only those
+    between are read: keep(rows) of them is written to `staged` first and then replaces these dates. as_of: a datetime.
+    Returns the dates kept, rewritten and dropped.
+    """
+    import datetime as dt
+
+    young, old = ((as_of - dt.timedelta(hours=h)).date().isoformat() for h in (shortest_hours, longest_hours))
+    on_disk = _dates_on_disk(spark, path)
+    done = {"kept": sorted(d for d in on_disk if d > young), "dropped": sorted(d for d in on_disk if d < old),
+            "rewritten": sorted(d for d in on_disk if old <= d <= young)}
+    table = spark.read.parquet(path) if on_disk else None
+    empty = []
+    if done["rewritten"]:
+        between = table.filter((F.col("date") >= F.lit(old).cast("date")) & (F.col("date") <= F.lit(young).cast("date")))
+        keep(between).write.mode("errorifexists").partitionBy("date").parquet(staged)
+        left = _dates_on_disk(spark, staged)
+        if left:
+            (spark.read.schema(table.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("date").parquet(path))
+        empty = [d for d in done["rewritten"] if d not in left]
+    for d in done["dropped"] + empty:
+        on_disk[d].getFileSystem(spark._jsc.hadoopConfiguration()).delete(on_disk[d], True)
+    return done
+
+
+def upsert_episodes(spark: SparkSession, changed: DataFrame, path: str, staged: str, keys: tuple[str, ...] = ("node_id", "alert_type", "created_at")) -> None:
+    """Merges changed episodes into the table: only their dates are read, rows with the same keys are replaced, the others stay."""
+    dated = with_date(changed, "created_at")
+    dates = dated.select("date").distinct()
+    merged = dated
+    if _dates_on_disk(spark, path):
+        old = spark.read.parquet(path).join(dates, "date", "left_semi").join(dated.select(*keys).distinct(), list(keys), "left_anti")
+        merged = old.unionByName(dated, allowMissingColumns=True)
+    merged.hint("rebalance", F.col("date")).write.mode("errorifexists").partitionBy("date").parquet(staged)
+    (spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+
+
 def write_alert_episodes(episodes: DataFrame, path: str) -> None:
     replace_dates(episodes, path, "created_at")
 

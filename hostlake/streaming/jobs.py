@@ -78,7 +78,8 @@ RATE_ROWS = "node_id STRING, ts TIMESTAMP, rx_mbps DOUBLE, tx_mbps DOUBLE"
 
 
 class CounterRates(StatefulProcessor):
-    """Last counters of a node in state; a batch of its samples is handled as whole arrays."""
+    """Last counters of a node in state; the samples of a trigger are gone through in order. Samples older than the last one
+    handled are dropped, they can't set the state back."""
 
     def __init__(self, clamp: float | None = 1000.0):
         self.clamp = clamp
@@ -94,6 +95,8 @@ class CounterRates(StatefulProcessor):
         for batch in [pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")]:
             out = []
             for ts, net in zip(batch["ts"], batch["network"]):
+                if prev_ts is not None and ts < prev_ts:
+                    continue  # older than what the state has: its neighbours are gone
                 cur = {n["interface"]: (int(n["bytes_recv"] or 0), int(n["bytes_sent"] or 0)) for n in net}
                 rx = tx = 0.0
                 if prev_ts is not None:
@@ -144,10 +147,14 @@ def system_cycle_firings(samples: DataFrame) -> DataFrame:
 class Episodes(StatefulProcessor):
     """Open episodes and last resolve times of a node, keyed by alert type; emits opened and resolved events.
 
-    With offline_minutes set, a timer raises node_offline when no payload came for that long (event time).
+    With offline_minutes set, node_offline opens at the first check that finds no payload for that long and closes at the first
+    check after the next payload, as the batch operator has it: checks are every check_seconds of event time. Silences between
+    rows are seen when the later row comes, in whatever trigger; the last one by a timer. Payloads that aren't newer than the
+    last one handled are dropped.
     """
 
-    def __init__(self, cooldown_minutes: int = 15, offline_minutes: int | None = None):
+    def __init__(self, cooldown_minutes: int = 15, offline_minutes: int | None = None, check_seconds: int = 120):
+        self.tick = check_seconds * 1_000_000_000
         self.cooldown = pd.Timedelta(minutes=cooldown_minutes)
         self.offline = None if offline_minutes is None else pd.Timedelta(minutes=offline_minutes)
 
@@ -170,10 +177,28 @@ class Episodes(StatefulProcessor):
         self.resolved.updateValue((kind,), (at.to_pydatetime(),))
         return (node, kind, "resolved", at, pd.Timestamp(created), severity, message, notify)
 
+    def _check(self, at: pd.Timestamp) -> pd.Timestamp:
+        """The first check at or after a time."""
+        return pd.Timestamp(-(-at.as_unit("ns").value // self.tick) * self.tick)
+
+    def _silence(self, node: str) -> tuple:
+        minutes = int(self.offline.total_seconds() // 60)
+        return "critical", f"No heartbeat from {node} for >{minutes} minutes"
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, node = [], key[0]
         batch = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+        last = pd.Timestamp(self.seen.get()[0]) if self.seen.exists() else None
         for ts, fired in zip(batch["ts"], batch["fired"]):
+            if last is not None and ts <= last:
+                continue
+            if self.offline is not None and last is not None:
+                opens = self._check(last + self.offline)
+                if opens < ts and not self.open.containsKey(("node_offline",)):
+                    out.append(self._opened(node, "node_offline", opens, *self._silence(node)))
+                if self.open.containsKey(("node_offline",)):
+                    out.append(self._closed(node, "node_offline", self._check(ts)))
+            last = ts
             now = {f["alert_type"]: f for f in fired}
             for kind in sorted(k[0] for k in self.open.keys()):
                 if kind not in now:
@@ -184,20 +209,18 @@ class Episodes(StatefulProcessor):
                     self.open.updateValue((kind,), (created, severity, f["message"], notify))
                 else:
                     out.append(self._opened(node, kind, ts, f["severity"], f["message"]))
+        self.seen.update((last.to_pydatetime(),))
         if self.offline is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            last = batch["ts"].iloc[-1]
-            self.seen.update((last.to_pydatetime(),))
-            self.handle.registerTimer(int((last + self.offline).timestamp() * 1000))
+            self.handle.registerTimer(self._check(last + self.offline).value // 1_000_000)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        minutes = int(self.offline.total_seconds() // 60)
         out = []
         if not self.open.containsKey(("node_offline",)):
-            out.append(self._opened(key[0], "node_offline", at, "critical", f"No heartbeat from {key[0]} for >{minutes} minutes"))
+            out.append(self._opened(key[0], "node_offline", at, *self._silence(key[0])))
         yield self._frame(out)
 
     @staticmethod

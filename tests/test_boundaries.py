@@ -383,3 +383,60 @@ def test_neighbours_across_empty_slots(spark):
     assert values(out, "v", "prev_v", "next_v") == [(0, None, 1), (1, 0, 200), (200, 1, 201), (201, 200, 500), (500, 201, None)]
     pos = ordered.with_position(df, ["k"], "ts", slot_seconds=3600)
     assert values(pos, "v", "pos", "group_size") == [(0, 0, 5), (1, 1, 5), (200, 2, 5), (201, 3, 5), (500, 4, 5)]
+
+
+@pytest.mark.parametrize("length", [2, 7, 70, 2000])
+def test_names_of_any_length_match(spark, length):
+    from hostlake.operators import names
+
+    host = ("h" + "0123456789abcdefghijklmnopqrstuvwxyz" * 60)[:length]
+    nodes = frame(spark, [("n1", host, at(0)), ("n2", "#" * 300, at(1))], "node_id STRING, hostname STRING, last_seen TIMESTAMP_NTZ")
+    asked = frame(spark, [(f"status of {host.upper()} now",), (host,), (host[:max(1, length - 4)],), ("",), (None,)], "name STRING")
+    assert {r["name"] for r in names.match_node(asked, nodes).filter("node_id = 'n1'").collect()} == {r["name"] for r in asked.collect() if r["name"]}
+    texts = frame(spark, [(f"is {host} up?",), ("x " * 3000 + host,), ("nothing",)], "text STRING")
+    assert names.extract_node_name(texts, nodes).filter("node_id = 'n1'").count() == 2
+    rows = frame(spark, [("n1", 0, host, "running", "", 0)], "node_id STRING, pos INT, name STRING, state STRING, status STRING, restart_count INT")
+    assert names.find_container(asked, rows, nodes).count() == 3
+
+
+def test_a_node_registered_twice_multiplies_nothing(spark):
+    nodes = frame(spark, [("n1",), ("n2",)], "node_id STRING")
+    own = frame(spark, [("a", "n1", "free", at(0)), ("b", "n1", "pro", at(1)), ("b", "n2", "pro", at(1))],
+                "account STRING, node_id STRING, plan STRING, created_at TIMESTAMP_NTZ")
+    assert values(accounts.node_plan(nodes, own), "node_id", "plan") == [("n1", "pro"), ("n2", "pro")]
+    facts = frame(spark, [("n1", at(0)), ("n2", at(0)), ("n3", at(0))], "node_id STRING, ts TIMESTAMP_NTZ")
+    assert values(retention.metric_windows(nodes, own), "node_id", "hours") == [("n2", 8760)]
+    assert retention.expire_metrics(facts, nodes, own, lit(at(1))).count() == 3
+    assert retention.expire_logs(facts, nodes, own, lit(at(1))).count() == 3
+    prefs = frame(spark, [("b", None, {"cpu_warning": 50.0})], "account STRING, node_id STRING, data MAP<STRING, DOUBLE>")
+    assert values(accounts.threshold_cascade(nodes, own, prefs), "node_id", "cpu_warning") == [("n1", 50.0), ("n2", 50.0)]
+
+
+def test_retention_touches_only_dates_that_can_expire(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from hostlake.operators.selection import window_since
+    from hostlake.sources import sinks
+
+    now = dt.datetime(2024, 1, 31)
+    rows = frame(spark, [("n1", now - dt.timedelta(days=k), k) for k in range(40)], "node_id STRING, ts TIMESTAMP_NTZ, k INT")
+    path = str(tmp_path / "facts")
+    sinks.append_by_date(rows, path)
+    files = {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("date=")}
+    done = sinks.expire_dates(spark, path, str(tmp_path / "staged"), lambda df: df.filter("k < 12"), now, 10 * 24, 20 * 24)
+    assert (len(done["kept"]), len(done["rewritten"]), len(done["dropped"])) == (10, 11, 19)
+    assert all(sorted(os.listdir(f"{path}/date={d}")) == files[f"date={d}"] for d in done["kept"])
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == list(range(12))
+    plan = window_since(spark.read.parquet(path), 48, lit(now))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def test_episode_upsert_keeps_the_other_rows_of_a_date(spark, tmp_path):
+    from hostlake.sources import sinks
+
+    schema = "node_id STRING, alert_type STRING, created_at TIMESTAMP_NTZ, v INT"
+    path = str(tmp_path / "episodes")
+    sinks.upsert_episodes(spark, frame(spark, [("a", "t", at(0), 1), ("b", "t", at(0), 2), ("c", "t", at(3000), 3)], schema), path, str(tmp_path / "s1"))
+    sinks.upsert_episodes(spark, frame(spark, [("a", "t", at(0), 9), ("d", "t", at(1), 4)], schema), path, str(tmp_path / "s2"))
+    assert values(spark.read.parquet(path), "node_id", "v") == [("a", 9), ("b", 2), ("c", 3), ("d", 4)]

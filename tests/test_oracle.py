@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle_compare as oc
+from hostlake.checks.base import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return oc.duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, con, name):
     sql = entry.oracle_sql().get(name)
     assert sql is not None
