@@ -1,12 +1,14 @@
 """Streams fed in several steps give the rows of their batch twins."""
 
+import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from hostlake.operators import series
 from hostlake.operators.episodes import alert_episodes
-from hostlake.operators.rules import firings
+from hostlake.operators.rules import firings, offline_episodes
 from hostlake.sources import testbed as T
 from hostlake.streaming import jobs
 
@@ -49,3 +51,27 @@ def test_episodes_carry_state_over_triggers(spark, tmp_path):
     assert rows(got.filter("event = 'opened'"), *cols) == rows(want, *cols)
     done = got.filter("event = 'resolved'").withColumn("resolved_at", F.col("at"))
     assert rows(done, *cols[:3], "resolved_at") == rows(want.filter("resolved_at is not null"), *cols[:3], "resolved_at")
+
+
+@pytest.mark.parametrize("cuts", [[], [3], [1, 2, 4, 5], [2, 5]])
+def test_offline_is_the_same_in_any_triggers(spark, tmp_path, cuts):
+    """Six payloads with silences between them, cut into triggers anywhere, and a late row that changes nothing."""
+    jobs.use_rocksdb(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    seen = [t0 + dt.timedelta(seconds=s) for s in (0, 60, 3600, 3700, 9000, 9300)]
+    schema = "node_id STRING, ts TIMESTAMP"
+    out, check, src = (str(tmp_path / x) for x in ("out", "check", "src"))
+    edges = [0, *cuts, len(seen)]
+    for a, b in zip(edges, edges[1:]):
+        part = [("n1", t) for t in seen[a:b]] + ([("n1", seen[a - 1] - dt.timedelta(seconds=1))] if a else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{src}/p{a}")
+        rows_ = spark.readStream.schema(schema).parquet(f"{src}/p*")
+        none = F.expr("array()").cast("array<struct<alert_type:string,severity:string,message:string>>")
+        df = jobs.episode_stream(rows_.select("node_id", "ts", none.alias("fired")), offline_minutes=5)
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(df.schema).parquet(out)
+    batch = offline_episodes(spark.createDataFrame([("n1", t) for t in seen], schema), F.lit(seen[-1]).cast("timestamp"), 5)
+    want = sorted((r.created_at, r.resolved_at) for r in batch.collect())
+    opened = sorted(r["at"] for r in got.filter("event = 'opened'").collect())
+    closed = sorted((r["created_at"], r["at"]) for r in got.filter("event = 'resolved'").collect())
+    assert opened == [a for a, _ in want] and len(want) == 2 and [b for _, b in closed] == [b for _, b in want]
