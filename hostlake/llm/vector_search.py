@@ -254,7 +254,9 @@ def build_index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame
     distinct = written(distinct.select("v", "ids", F.size("v").alias("dim")), "vectors")
     shards = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
     dealt = distinct.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
-    return written(dealt.select("dim", "shard", "ids", "v").groupBy("dim", "shard").applyInArrow(
+    # few rows make much work here: as many tasks as shards, not as the size of the rows suggests
+    tasks = 2 * (shards.agg(F.sum("shards")).first()[0] or 1)
+    return written(dealt.select("dim", "shard", "ids", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(
         _built, "dim int, shard int, ids array<array<long>>, vectors binary, layers array<binary>, top int"), "graphs")
 
 
