@@ -4,10 +4,12 @@ Permutation `sigma` scatters a document's shingles over a universe of 2 ** 20 ce
 `pi`, shifted circularly by k, gives to an occupied cell. The shifts of a cell are one contiguous slice of pi, so a shingle costs
 one copy of a slice instead of 128 hash functions. Bands of coordinates propose pairs; the full shingle sets decide.
 
-Documents with equal sets are one class. Within a bucket the classes are first held against one leader. Where a bucket still
-spans several components, the members outside its main component are held against changing hubs of the main component, a
-linear number of pairs each round; then all pairs across components that are left, after a large bucket has been dealt out again
-by a second band (a linked pair shares about ten bands of 32). No pair is emitted inside a component, and nothing is capped. A pair at similarity 0.75 exactly is missed with a probability of about 1e-5 for each link.
+Documents with equal sets are one class. Members of a bucket with too many shingles of their own for any link leave it. The others
+are first held against one leader. Where a bucket still spans several components, the members outside its main component are
+held against a few hubs of the main component, others each round, a linear number of pairs; then against all others that are
+not in their component. Before full sets meet, sketches of 1,024 bits (one of each of 1,024 circulant coordinates) rule out pairs
+that are far below the similarity. No pair is emitted inside a component, and nothing is capped. A pair at similarity 0.75
+exactly is missed with a probability of about 1e-5 for each link.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlake.llm.common import (U64, byte_classes, in_bits, membership_bits, mix, register, row_groups, shingle_hashes, table, text_bytes,
@@ -26,31 +29,43 @@ from hostlake.llm.common import (U64, byte_classes, in_bits, membership_bits, mi
 SHINGLE = 5
 UNIVERSE_BITS = 20
 BANDS, BAND_ROWS = 32, 4
-LARGE_BUCKET = 16
-HUB_ROUNDS = 8
+SKETCH_BITS = 1024
+HUB_ROUNDS, HUBS = 4, 4
 SEED = 20240
 
 
-@lru_cache(maxsize=2)
-def _permutations(seed: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _permutations(seed: int, width: int = BANDS * BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """sigma, and pi as a table whose row i is pi[i], pi[i + 1], ... circularly (a view, not a copy)."""
-    d, k = 1 << UNIVERSE_BITS, BANDS * BAND_ROWS
+    d = 1 << UNIVERSE_BITS
     rng = np.random.default_rng(seed)
     sigma = rng.permutation(d).astype(np.int32)
     pi = rng.permutation(d).astype(np.uint32)
-    return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:k - 1]]), k)
+    return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:width - 1]]), width)
 
 
-def signature(shingles: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """All coordinates of a set of shingle hashes."""
-    sigma, shifted = _permutations(seed)
+def signature(shingles: np.ndarray, width: int = BANDS * BAND_ROWS, seed: int = SEED) -> np.ndarray:
+    """The first `width` coordinates of a set of shingle hashes."""
+    sigma, shifted = _permutations(seed, width)
     cells = sigma[(shingles & U64((1 << UNIVERSE_BITS) - 1)).astype(np.int64)]
-    out = shifted[cells[:2048]].min(axis=0)
-    for a in range(2048, len(cells), 2048):
-        np.minimum(out, shifted[cells[a:a + 2048]].min(axis=0), out=out)
+    out = shifted[cells[:512]].min(axis=0)
+    for a in range(512, len(cells), 512):
+        np.minimum(out, shifted[cells[a:a + 512]].min(axis=0), out=out)
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of SKETCH_BITS coordinates, as longs. Bits of two sets differ with probability (1 - similarity) / 2."""
+    bits = mix(signature(shingles, SKETCH_BITS).astype(U64) + np.arange(SKETCH_BITS, dtype=U64)) & U64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def most_differing_bits(percent: int) -> int:
+    """So many bits differ, 4.5 standard deviations over the mean, at the similarity asked for: more mean (almost surely) no link."""
+    p = (1 - percent / 100) / 2
+    return int(np.ceil(SKETCH_BITS * p + 4.5 * np.sqrt(SKETCH_BITS * p * (1 - p))))
+
+
 _LANES = np.arange(1, BAND_ROWS + 1, dtype=np.uint64) * U64(0x9FB21C651E98DF25) | U64(1)
 
 
@@ -100,58 +115,90 @@ def _sets_of(bits: bytes):
             ids = batch.column(0)
             part = pa.RecordBatch.from_arrays(batch.columns, names=["doc_id", "text"]).filter(
                 pa.array(in_bits(np.asarray(ids.fill_null(0)), held)) if len(ids) else pa.array([], pa.bool_()))
+            part = part.filter(pa.compute.is_valid(part.column(0)))
             sets = list(shingle_sets(part.column(1)))
+            kept = [k for k, s in enumerate(sets) if len(s)]  # an empty set links with nothing
+            part, sets = part.take(pa.array(kept, pa.int64())), [sets[k] for k in kept]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "shingles"])
+            bits_at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+            sketches = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.ListArray.from_arrays(bits_at, pa.array(sketches))],
+                names=["id", "shingles", "sketch"])
 
     return run
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component): smallest id reachable over links (a, b), a > b. Each round hooks the label of a node to the smallest
-    label beside it and shortens label chains; rounds grow with the logarithm of the diameter."""
+    """(id, component): smallest id reachable over links (a, b). Each round takes the smallest label beside a node and then the label
+    of that label, which halves what is left of a chain; it ends when no label changes."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-0")
     step = 0
     while True:
         step += 1
-        beside = (both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near")))
-        now = labels.join(beside, "id").select("id", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        hooks = (now.where(F.col("label") < F.col("before")).groupBy(F.col("before").alias("id")).agg(F.min("label").alias("hook")))
-        now = now.join(hooks, "id", "left").select("id", "before", F.least("label", F.coalesce("hook", "label")).alias("label"))
-        now = written(now, f"{name}-{step}")
+        beside = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        now = written(labels.join(beside, "id").select("id", F.col("label").alias("before"), F.least("label", "near").alias("label")), f"{name}-{step}")
+        if now.where(F.col("label") < F.col("before")).isEmpty():
+            return now.select("id", F.col("label").alias("component"))
         up = now.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        labels = written(now.join(up, "label", "left").select("id", "before", F.least("label", F.coalesce("up", "label")).alias("label")), f"{name}-{step}-short")
-        if labels.where(F.col("label") < F.col("before")).isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
-        labels = labels.select("id", "label")
+        labels = written(now.join(up, "label").select("id", F.col("up").alias("label")), f"{name}-{step}-short")
 
 
 def _sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ids, from one more pass over the texts."""
+    """(id, shingles, sketch) of the documents in ids, from one more pass over the texts."""
     bits = membership_bits(ids, "id")
-    sets = documents.mapInArrow(_sets_of(bits), "id long, shingles array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    sets = documents.mapInArrow(_sets_of(bits), "id long, shingles array<long>, sketch array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
     return written(sets, "sets")
 
 
+def _far(a: Column, b: Column, percent: int) -> Column:
+    """True where two sketches differ in more bits than a link's would."""
+    differing = F.lit(0)
+    for k in range(SKETCH_BITS // 64):
+        differing = differing + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return differing > most_differing_bits(percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets reach the similarity."""
-    held = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    """Those of pairs (a, b) whose full shingle sets reach the similarity. Sketches let few others through to the sets."""
+    sides = [sets.select(F.col("id").alias(x), F.col("sketch").alias(f"k{x}")) for x in ("a", "b")]
+    near = written(pairs.join(sides[0], "a").join(sides[1], "b").where(~_far(F.col("ka"), F.col("kb"), percent)).select("a", "b"), "near")
+    held = (near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
     na, nb, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-    near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)  # the smaller set inside the larger one at best
-    return written(held.where(near).where(100 * both >= percent * (na + nb - both)).select("a", "b"), "links")
+    alike = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)  # the smaller set inside the larger one at best
+    return written(held.where(alike).where(100 * both >= percent * (na + nb - both)).select("a", "b"), "links")
+
+
+def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n): members that may link inside their bucket, of buckets with two or more of them.
+
+    A shingle that no other member of any bucket has is in no intersection. With s shared shingles of n, and a partner of m, the
+    intersection is s at most and the union n + m - s at least; m is no less than the smallest set of the bucket, nor than
+    percent / 100 of n. Exact: only members without any partner go.
+    """
+    alone = (sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+             .groupBy("id").agg(F.count("*").alias("alone")))
+    sizes = sets.select("id", F.size("shingles").alias("n")).join(alone, "id", "left").select(
+        F.col("id").alias("rep"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    sized = written(members.join(sizes, "rep"), "sized")
+    least = written(sized.groupBy("key").agg(F.min("n").alias("least")), "least")
+    partner = F.greatest(F.col("least"), percent * F.col("n") / 100)
+    fit = written(sized.join(least, "key").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + partner)).select("key", "rep", "n"), "able")
+    crowded = written(fit.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "able-keys")
+    return written(fit.join(crowded, "key"), "members")
 
 
 def _spanning(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, rep, component, size, main) of the buckets that span components; main: the component with most members."""
-    placed = members.select("key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
-    by = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    spans = by.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inside"),
-                                  F.max(F.struct("n", F.negate("component").alias("c"))).alias("most")).where("size * size > inside")
-    spans = spans.select("key", "size", (-F.col("most.c")).alias("main"), ((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("across"))
+    placed = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    by = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    spans = by.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"),
+                                  F.max(F.struct("c", F.negate("component").alias("k"))).alias("most")).where("size * size > inside")
+    spans = spans.select("key", "size", (-F.col("most.k")).alias("main"), ((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("across"))
     return written(placed.join(spans, "key"), "spans")
 
 
@@ -172,21 +219,25 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
 
     banded = classed.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = written(banded.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead"), "crowded")
-    members = written(banded.join(crowded, "key").select("key", "lead", "rep").distinct(), "members")
+    crowded = written(banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key"), "crowded")
+    members = written(banded.join(crowded, "key").select("key", "rep").distinct(), "bucketed")
     sets = _sets(members.select(F.col("rep").alias("id")).distinct(), docs)
-    links = _verified(members.where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)
+    members = _able(members, sets, percent)
+    leads = written(members.groupBy("key").agg(F.min("rep").alias("lead")), "leads")
+    led = members.join(leads, "key").where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    links = _verified(led, sets, percent)
     comps = components(links, "led")
 
-    # Buckets that still span components: their other members against a hub of the main component, another hub each round,
-    # as long as that links anything and the pairs left outnumber the members.
+    # Buckets that still span components: their other members against hubs of the main component, others each round, as long as
+    # that links anything and the pairs left outnumber the members.
     spans = _spanning(members, comps)
     for turn in range(HUB_ROUNDS):
         left = spans.dropDuplicates(["key"]).agg(F.sum("across").alias("pairs"), F.sum("size").alias("members")).first()
         if not left["pairs"] or left["pairs"] <= 2 * left["members"]:
             break
-        hubs = (spans.where("component = main").groupBy("key")
-                .agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"))).alias("hub")).select("key", "hub.hub"))
+        inside = spans.where("component = main").groupBy("key").agg(*[
+            F.min(F.struct(F.xxhash64("rep", F.lit(HUBS * turn + k)).alias("h"), F.col("rep").alias("hub"))).alias(f"h{k}") for k in range(HUBS)])
+        hubs = inside.select("key", F.explode(F.array_distinct(F.array(*[f"h{k}.hub" for k in range(HUBS)]))).alias("hub"))
         pairs = spans.where("component <> main").join(hubs, "key").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         found = _verified(pairs, sets, percent)
         if found.isEmpty():
@@ -195,15 +246,21 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         comps = components(links, f"hub{turn}")
         spans = _spanning(members, comps)
 
-    # The rest: all pairs across components, large buckets dealt out by a second band first.
-    large = (spans.where(F.col("size") > LARGE_BUCKET).join(members.select("rep", F.col("key").alias("second")), "rep")
-             .where("second <> key").select(F.xxhash64("key", "second").alias("key"), "rep", "component"))
-    sized = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    fine = spans.where(F.col("size") <= LARGE_BUCKET).select("key", "rep", "component").unionByName(large.join(sized.select("key"), "key", "left_semi"))
-    left, right = (fine.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-    across = left.join(right, "key").where("a > b AND ca <> cb").select("a", "b").distinct()
-    links = written(links.unionByName(_verified(across, sets, percent)).distinct(), "all-links")
-    comps = components(links, "final")
+    # The rest: members outside a bucket's main component with all others across components, each pair in the first bucket it shares.
+    known = classed.where("bands IS NOT NULL").select("rep", "bands").join(sets.select(F.col("id").alias("rep"), "sketch"), "rep")
+    fine = written(spans.select("key", "rep", "n", "component", "main").join(known, "rep"), "fine")
+    x, y = fine.where("component <> main").alias("x"), fine.alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") > F.col("y.rep"))
+    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    first = F.get(F.col("x.bands"), (F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) - 1).cast("int"))
+    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & alike
+                     & ~_far(F.col("x.sketch"), F.col("y.sketch"), percent) & (first == F.col("x.key")))
+              .select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct())
+    more = _verified(across, sets, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = components(links, "final")
+    links = links.distinct()
 
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = comps.withColumnRenamed("id", "rep").join(ends, "rep", "left")
@@ -221,6 +278,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (and of rows that repeat a doc_id) one row stays."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    found = written(near_duplicates(docs).where("doc_id IS NOT NULL AND (NOT kept OR n_rows > 1)").select("doc_id", "kept"), "found")
+    gone = written(found.select("doc_id"), "gone")  # a table whose size is known: a small one is sent to the texts, not the texts to it
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept").select("doc_id")
+    return rest if again.isEmpty() else rest.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
