@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm.common import byte_classes, in_bits, membership_bits, register, row_groups, shingle_hashes, table, text_bytes, word_hashes
+from hostlake.llm.common import byte_classes, in_bits, membership_bits, register, row_groups, shingle_hashes, table, text_bytes, word_hashes, written
 
 MIN_MATCH = 4
 THRESHOLD = 0.5
@@ -159,4 +159,5 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak an item of the benchmark go."""
-    return docs.join(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")  # of known size
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
