@@ -27,9 +27,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_TEXT = 50256  # free in the vocabulary
 ROW_TOKENS = 2048
-SHARD_TOKENS = 1 << 21
-CACHE_CUTS = 1 << 19
-SLOT_BITS = 22
+SHARD_TOKENS = 1 << 20
+CACHE_CUTS = 1 << 18
+SLOT_BITS = 21
 _SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
 
 _encoders: dict[bytes, "Encoder"] = {}
@@ -52,7 +52,7 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)  # hashes of the cuts known, with the place of their ids in `flat`
         self.slots = np.zeros(1 << SLOT_BITS, np.int32)  # number of a key by its low bits; one of those that share them
         self.clashes = np.zeros(0, np.int64)  # numbers of keys that another one pushed out of its slot, by key
-        self.at = self.size = self.bytes = np.zeros(0, np.int64)
+        self.at = self.size = self.bytes = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16)
 
     @classmethod
@@ -96,7 +96,7 @@ class Encoder:
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, together, np.fromiter((i for x in alone for i in x), np.uint16)])
         self.keys = np.concatenate([self.keys, new])
-        self.at, self.size, self.bytes = (np.concatenate(x) for x in ((self.at, at), (self.size, size), (self.bytes, length)))
+        self.at, self.size, self.bytes = (np.concatenate([x, y.astype(np.int32)]) for x, y in ((self.at, at), (self.size, size), (self.bytes, length)))
         slot = (self.keys & _SLOT_MASK).astype(np.int64)
         self.slots[slot] = np.arange(len(self.keys), dtype=np.int32)
         out = np.flatnonzero(self.slots[slot] != np.arange(len(self.keys)))
@@ -105,7 +105,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         data, offsets = text_bytes(texts)
-        for lo, hi in row_groups(offsets, 1 << 22):
+        for lo, hi in row_groups(offsets):
             a, b = int(offsets[lo]), int(offsets[hi])
             rows, part = offsets[lo:hi + 1] - a, data[a:b]
             starts = _cut_places(part, rows)
@@ -216,6 +216,7 @@ def _pack_shard(ids: list[np.ndarray], docs: list, numbers: list[int], row_token
 
 def _packed(vocabulary: bytes, row_tokens: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker that served other steps before
         encoder = Encoder.of(vocabulary)
         first = TaskContext.get().partitionId() << 40
         ids, docs, numbers, held = [], [], [], 0
@@ -230,9 +231,9 @@ def _packed(vocabulary: bytes, row_tokens: int, shard_tokens: int):
                     held += len(ids[-1])
                     if held >= shard_tokens:
                         out = _pack_shard(ids, docs, numbers, row_tokens, np.dtype("<u2"), first)
-                        yield out
                         first += out.num_rows
                         ids, docs, numbers, held = [], [], [], 0
+                        yield out
         if ids:
             yield _pack_shard(ids, docs, numbers, row_tokens, np.dtype("<u2"), first)
 

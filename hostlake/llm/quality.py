@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostlake.llm.common import U64, byte_classes, register, row_groups, shingle_hashes, table, text_bytes, word_hashes
 
@@ -103,16 +104,19 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_tra
 
 
 def _scored(model: bytes):
+    """Scores by the last column: a text, which is left out then, or a row with a field `text`, which stays."""
     w = np.frombuffer(model, np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.empty(batch.num_rows)
-            for k, (one, two) in enumerate(features(batch.column(batch.num_columns - 1))):
+            last = batch.column(batch.num_columns - 1)
+            for k, (one, two) in enumerate(features(last.field("text") if pa.types.is_struct(last.type) else last)):
                 n = len(one) + len(two)
                 total[k] = SCALE * (float(w[one].sum(dtype=np.float64)) + float(w[two].sum(dtype=np.float64))) / max(1, n) ** 0.75
             score = 1 / (1 + np.exp(-np.clip(total + float(w[-1]), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            kept = batch.num_columns - (not pa.types.is_struct(last.type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score, pa.float64())], names=[*batch.schema.names[:kept], "score"])
 
     return run
 
@@ -146,7 +150,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score below 0.5 go. The scores travel beside the rows, without a join."""
     model = fit(docs, table(spark, sf_dir, "labels").where(_remainder("doc_id", 3) != 1))
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = packed.select("row").schema
-    scored = packed.mapInArrow(_scored(model), schema.add("score", "double"))
-    return scored.where("score >= 0.5").select("row.*")
+    packed = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*names).alias("row"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
+    return packed.mapInArrow(_scored(model), schema).where("score >= 0.5").select("row.*")
