@@ -6,6 +6,7 @@ letters are single bytes that never occur inside other UTF-8 characters, so byte
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}  # this process's folder in tests on a local master
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only on a local master that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -44,11 +48,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="hostlake-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if "folder" not in _own:
+        _own["folder"] = tempfile.mkdtemp(prefix="hostlake-llm-")
+    return _own["folder"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
