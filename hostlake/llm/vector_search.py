@@ -248,9 +248,9 @@ def build_index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame
 
     Vectors of different length are in different shards, and never meet.
     """
-    smallest = Window.partitionBy("v").orderBy("vec_id")  # cut before the shuffle too, however many rows share a vector
-    distinct = (vectors.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
-                .groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    smallest = Window.partitionBy("v").orderBy("vec_id")  # cut before the shuffle too, however many ids share a vector
+    distinct = (vectors.select("vec_id", "v").distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
+                .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     distinct = written(distinct.select("v", "ids", F.size("v").alias("dim")), "vectors")
     shards = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
     dealt = distinct.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))

@@ -223,6 +223,21 @@ def test_nearest_of_odd_rows(spark):
     assert near[0] == list(range(1, 21)) and near[60] == list(range(20)) and len(near) == 5
 
 
+def test_nearest_of_repeated_rows(spark):
+    """40 ids on one vector with every row twice, one id of another vector in 21 rows, against brute force."""
+    given = [(k, [1.0, 0.0]) for k in range(40)] + [(k, [0.5, 0.1]) for k in range(100, 125)]
+    rows = given * 2 + [(100, [0.5, 0.1])] * 21
+    found = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {q: [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in {r.query_id for r in found}}
+    assert set(got) == {0, 20, 100, 120}
+    for q, v in given:
+        if q in got:
+            best = sorted((-sum(a * b for a, b in zip(v, x)), i) for i, x in given if i != q)[:20]
+            assert got[q] == [(i, -s) for s, i in best]
+    index = vector_search.build_index(vector_search.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert sorted(ids for r in index.collect() for ids in r["ids"]) == [list(range(21)), list(range(100, 121))]
+
+
 def brute_lines(docs, min_words):
     seq = [(i, n, line, len(line.split())) for i, t in docs for n, line in enumerate(t.split("\n") if t else [])]
     gone = set()
