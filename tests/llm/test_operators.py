@@ -269,6 +269,16 @@ def test_line_runs_are_those_of_brute_force(spark):
         i: None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in docs}
 
 
+def test_short_repeated_lines_go(spark):
+    """Later copies of lines of one word or more go, each alone between lines that occur once."""
+    short = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "nine words are under the bound of earlier rounds", "end"]
+    docs = [(i, "\n".join(x for n, line in enumerate(short) for x in (f"once {i} {n}", line, ""))) for i in range(4)] + [(9, "\n \n\nend\n\nend")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, line) for r in line_dedup.repeated_lines(df).collect() for line in r.gone}
+    assert got == brute_lines(docs, 1)
+    assert {(i, 3 * n + 1) for i in range(1, 4) for n in range(4)} <= got and not any(i == 0 for i, _ in got)
+
+
 def test_line_runs_of_odd_rows(spark, odd):
     got = {r.doc_id: (r.n_lines, r.gone) for r in line_dedup.repeated_lines(odd, 5).collect()}
     assert got[1] == (0, []) and got[5] == (1, []) and got[8] == (1, [0]) and got[3] == (2, [])
