@@ -149,8 +149,9 @@ class Episodes(StatefulProcessor):
 
     With offline_minutes set, node_offline opens at the first check that finds no payload for that long and closes at the first
     check after the next payload, as the batch operator has it: checks are every check_seconds of event time. Silences between
-    rows are seen when the later row comes, in whatever trigger; the last one by a timer. Payloads that aren't newer than the
-    last one handled are dropped.
+    rows are seen when the later row comes, in whatever trigger; the last one by a timer. Payloads older than the last one
+    handled are dropped. Rows of one time are one payload; if some come in a later trigger, what they fire opens if it isn't
+    open, but a resolve that was already emitted at that time stays.
     """
 
     def __init__(self, cooldown_minutes: int = 15, offline_minutes: int | None = None, check_seconds: int = 120):
@@ -181,6 +182,17 @@ class Episodes(StatefulProcessor):
         """The first check at or after a time."""
         return pd.Timestamp(-(-at.as_unit("ns").value // self.tick) * self.tick)
 
+    @staticmethod
+    def _merged(tied) -> dict:
+        """The firings of rows of one time by alert type; of differing ones of a type the smallest, as in the batch operator."""
+        def order(f):
+            return tuple((f[c] is not None, f[c] or "") for c in ("alert_type", "severity", "message"))
+
+        now = {}
+        for f in sorted((f for fired in tied for f in fired), key=order):
+            now.setdefault(f["alert_type"], f)
+        return now
+
     def _silence(self, node: str) -> tuple:
         minutes = int(self.offline.total_seconds() // 60)
         return "critical", f"No heartbeat from {node} for >{minutes} minutes"
@@ -189,8 +201,14 @@ class Episodes(StatefulProcessor):
         out, node = [], key[0]
         batch = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
         last = pd.Timestamp(self.seen.get()[0]) if self.seen.exists() else None
-        for ts, fired in zip(batch["ts"], batch["fired"]):
-            if last is not None and ts <= last:
+        for ts, tied in batch.groupby("ts", dropna=False)["fired"]:
+            if last is not None and ts < last:
+                continue
+            now = self._merged(tied)
+            if ts == last:
+                for kind, f in sorted(now.items()):
+                    if not self.open.containsKey((kind,)):
+                        out.append(self._opened(node, kind, ts, f["severity"], f["message"]))
                 continue
             if self.offline is not None and last is not None:
                 opens = self._check(last + self.offline)
@@ -199,7 +217,6 @@ class Episodes(StatefulProcessor):
                 if self.open.containsKey(("node_offline",)):
                     out.append(self._closed(node, "node_offline", self._check(ts)))
             last = ts
-            now = {f["alert_type"]: f for f in fired}
             for kind in sorted(k[0] for k in self.open.keys()):
                 if kind not in now:
                     out.append(self._closed(node, kind, ts))

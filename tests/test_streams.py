@@ -75,3 +75,27 @@ def test_offline_is_the_same_in_any_triggers(spark, tmp_path, cuts):
     opened = sorted(r["at"] for r in got.filter("event = 'opened'").collect())
     closed = sorted((r["created_at"], r["at"]) for r in got.filter("event = 'resolved'").collect())
     assert opened == [a for a, _ in want] and len(want) == 2 and [b for _, b in closed] == [b for _, b in want]
+
+
+@pytest.mark.parametrize("triggers", [1, 2])
+def test_rows_of_one_time_are_one_payload(spark, tmp_path, triggers):
+    """Rows of a node with equal times and different firings, in one trigger or the tie in a later one."""
+    jobs.use_rocksdb(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    given = [(0, []), (60, [("cpu", "warning", "c1")]), (60, [("disk", "critical", "d1"), ("cpu", "critical", "c0")]), (120, [("disk", "critical", "d2")]), (120, []), (180, [])]
+    cut = len(given) if triggers == 1 else 2
+    schema = "node_id STRING, ts TIMESTAMP, fired ARRAY<STRUCT<alert_type: STRING, severity: STRING, message: STRING>>"
+    rows_ = [("n1", t0 + dt.timedelta(seconds=s), fired) for s, fired in given]
+    out, check, src = (str(tmp_path / x) for x in ("out", "check", "src"))
+    for i, part in enumerate(p for p in (rows_[:cut], rows_[cut:]) if p):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{src}/p{i}")
+        df = jobs.episode_stream(spark.readStream.schema(schema).parquet(f"{src}/p*"))
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(df.schema).parquet(out)
+    all_rows = spark.createDataFrame(rows_, schema)
+    fired = all_rows.select("node_id", "ts", F.explode("fired").alias("f")).select("node_id", "ts", "f.*", F.lit(None).cast("double").alias("value"))
+    want = alert_episodes(fired, all_rows.select("node_id", "ts"))
+    cols = ("node_id", "alert_type", "created_at") + (("severity", "notify") if triggers == 1 else ())
+    assert want.count() == 2 and rows(got.filter("event = 'opened'"), *cols) == rows(want, *cols)
+    done = got.filter("event = 'resolved'").withColumn("resolved_at", F.col("at"))
+    assert rows(done, *cols[:3], "resolved_at") == rows(want, *cols[:3], "resolved_at")
