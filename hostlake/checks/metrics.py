@@ -144,9 +144,8 @@ def landed(spark, d):
     return landing.land_payloads(T.payload_lines(spark, d), T.as_of().cast("timestamp"))
 
 
-@query("land_payloads", """SELECT node_id, ts, unnest(CASE WHEN event_type IN ('click', 'signup', 'purchase')
-    THEN ['system', CASE event_type WHEN 'click' THEN 'docker' WHEN 'signup' THEN 'services' ELSE 'smart' END]
-    ELSE ['system'] END) AS metric_type FROM e""")
+@query("land_payloads", """SELECT node_id, ts, unnest(['system'] || CASE event_type WHEN 'click' THEN ['docker'] WHEN 'signup' THEN ['services'] WHEN 'view' THEN ['gpu']
+    WHEN 'purchase' THEN ['smart', 'zfs'] ELSE [] END) AS metric_type FROM e""")
 def _(spark, d):
     return landed(spark, d).select("node_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "metric_type")
 
@@ -213,13 +212,13 @@ def _(spark, d):
     memory_total_bytes / 1073741824.0::DOUBLE AS vram_total_gb, memory_used_bytes / 1073741824.0::DOUBLE AS vram_used_gb,
     memory_free_bytes / 1073741824.0::DOUBLE AS vram_free_gb, temperature_celsius, power_watts FROM gp""")
 def _(spark, d):
-    return silver.gpu_devices(T.gpu_samples(spark, d)).select(
-        "node_id", "ts", "name", "gpu_count", "vram_total_gb", "vram_used_gb", "vram_free_gb", "temperature_celsius", "power_watts")
+    return silver.gpu_devices(silver.gpu_samples(landed(spark, d))).select(
+        "node_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "name", "gpu_count", "vram_total_gb", "vram_used_gb", "vram_free_gb", "temperature_celsius", "power_watts")
 
 
 @query("zfs_pools", "SELECT node_id, ts, name, used_percent, pool_healthy FROM zf")
 def _(spark, d):
-    return silver.zfs_pools(T.zfs_samples(spark, d)).select("node_id", "ts", "name", "used_percent", "pool_healthy")
+    return silver.zfs_pools(silver.zfs_samples(landed(spark, d))).select("node_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "name", "used_percent", "pool_healthy")
 
 
 @query("temperatures", """SELECT node_id, 'package' AS label, temp AS value, 'system' AS source FROM sl UNION ALL

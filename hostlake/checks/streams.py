@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from ..sources import testbed as T
 from ..streaming import jobs
 from ..streaming.runner import drain, new_path
-from .alerts import ALL, EPISODES, FIRE_DEFAULT
+from .alerts import ALL, EPISODES, FIRE_CUSTOM, FIRE_DEFAULT, thresholds
 from .base import query
 from .metrics import RATES
 
@@ -20,8 +21,8 @@ def plain(df):
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 
 
-@query("stream_landing", """SELECT node_id, ts, unnest(CASE WHEN event_type IN ('click', 'signup', 'purchase')
-    THEN ['system', CASE event_type WHEN 'click' THEN 'docker' WHEN 'signup' THEN 'services' ELSE 'smart' END] ELSE ['system'] END) AS metric_type FROM e""")
+@query("stream_landing", """SELECT node_id, ts, unnest(['system'] || CASE event_type WHEN 'click' THEN ['docker'] WHEN 'signup' THEN ['services'] WHEN 'view' THEN ['gpu']
+    WHEN 'purchase' THEN ['smart', 'zfs'] ELSE [] END) AS metric_type FROM e""")
 def _(spark, d):
     """Every payload is delivered twice and lands once."""
     path = new_path(spark, "payloads")
@@ -32,7 +33,10 @@ def _(spark, d):
     return plain(drain(once, "landing"))
 
 
+CHANGES = """SELECT node_id, alert_type, 'opened' AS event, created_at AS at, created_at, severity, notify FROM ep WHERE created_at <= {wm} UNION ALL
+    SELECT node_id, alert_type, 'resolved', resolved_at, created_at, severity, notify FROM ep WHERE resolved_at <= {wm}"""
 WM = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM s)"
+CHANGES = CHANGES.format(wm=WM)
 
 
 @query("stream_sessions", f"""WITH f AS (SELECT node_id, ts, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY ts) AS g
@@ -56,15 +60,15 @@ def _(spark, d):
     return plain(drain(jobs.sliding_attempts(samples(spark, d).select("node_id", "ts"), "node_id", "24 hours", "6 hours"), "attempts"))
 
 
-@query("stream_rates", f"WITH {RATES} SELECT node_id, ts, least(rx_mbps, 1000) AS rx_mbps, least(tx_mbps, 1000) AS tx_mbps FROM r3")
+@query("stream_rates", f"WITH {RATES} SELECT node_id, ts, least(rx_mbps, 1000) AS rx_mbps, least(tx_mbps, 1000) AS tx_mbps FROM r3 WHERE ts <= {WM}")
 def _(spark, d):
+    """Rows come out once the watermark has passed them."""
     jobs.use_rocksdb(spark)
     return plain(drain(jobs.counter_rates(samples(spark, d)), "rates"))
 
 
 @query("stream_episodes", f"""WITH {FIRE_DEFAULT.replace('f0 AS (', 'fa AS (')}, f0 AS (SELECT * FROM fa WHERE collector = 'system'), {EPISODES.format(cool='900000000', **ALL)}
-    SELECT node_id, alert_type, 'opened' AS event, created_at AS at, created_at, severity, notify FROM ep UNION ALL
-    SELECT node_id, alert_type, 'resolved', resolved_at, created_at, severity, notify FROM ep WHERE resolved_at IS NOT NULL""")
+    {CHANGES}""")
 def _(spark, d):
     jobs.use_rocksdb(spark)
     return plain(drain(jobs.episode_stream(jobs.system_cycle_firings(samples(spark, d))), "episodes")).drop("message")
@@ -72,12 +76,67 @@ def _(spark, d):
 
 @query("stream_offline", f"""WITH g AS (SELECT node_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY node_id ORDER BY ts) AS nx FROM (SELECT DISTINCT node_id, ts FROM s)),
     o AS (SELECT *, CAST(ceil((us + 43200000000) / 120000000.0) AS BIGINT) * 120000000 AS op, CAST(ceil(nx / 120000000.0) AS BIGINT) * 120000000 AS cl FROM g),
-    k AS (SELECT * FROM o WHERE CASE WHEN nx IS NULL THEN op <= epoch_us({WM}) ELSE op < nx END)
+    k AS (SELECT * FROM o WHERE op <= epoch_us({WM}) AND coalesce(op < nx, true))
     SELECT node_id, 'opened' AS event, make_timestamp(op) AS at, make_timestamp(op) AS created_at FROM k UNION ALL
-    SELECT node_id, 'resolved', make_timestamp(cl), make_timestamp(op) FROM k WHERE nx IS NOT NULL""")
+    SELECT node_id, 'resolved', make_timestamp(cl), make_timestamp(op) FROM k WHERE nx <= epoch_us({WM})""")
 def _(spark, d):
     """No payload fires anything here; a node counts as offline after 12 hours."""
     jobs.use_rocksdb(spark)
     none = F.expr("array()").cast("array<struct<alert_type:string,severity:string,message:string>>")
     rows = samples(spark, d).select("node_id", "ts", none.alias("fired"))
     return plain(drain(jobs.episode_stream(rows, offline_minutes=720), "offline")).select("node_id", "event", "at", "created_at")
+
+
+FIRE_PAYLOADS = FIRE_CUSTOM.replace("WHERE load1 > cpu_count * 2", "WHERE load1 > cpu_count * 2 AND sample_id % 4 <> 3")  # one payload in four has no load
+PAYLOAD_EPISODES = f"{FIRE_PAYLOADS}, {EPISODES.format(cool='86400000000', **ALL)}"
+
+
+def payloads(spark, d, parts: int = 1):
+    """All raw lines as a file stream of `parts` files in the order of time, one for each trigger."""
+    path, lines = new_path(spark, "lines"), T.payload_lines(spark, d)
+    if parts == 1:
+        lines.write.text(path)
+    else:
+        at = F.get_json_object("value", "$.timestamp").cast("timestamp")
+        lines = lines.withColumn("at", at)
+        cuts = [None, *lines.agg(F.percentile(F.unix_micros("at"), [k / parts for k in range(1, parts)]).alias("q")).first()["q"], None]
+        for low, high in zip(cuts, cuts[1:]):
+            us = F.unix_micros("at")
+            part = lines.filter((F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high))
+            part.select("value").coalesce(1).write.mode("append").text(path)
+    return jobs.payload_stream(spark.readStream.option("maxFilesPerTrigger", 1 if parts > 1 else 1000).text(path), T.as_of().cast("timestamp"))
+
+
+def fired_payloads(spark, d, parts: int = 1):
+    """What the payloads fire by the nodes' own thresholds, as a stream over the table that the first job writes."""
+    path = new_path(spark, "fired")
+    jobs.fire_batches(payloads(spark, d, parts), lambda: thresholds(spark, d), path, path + "-checkpoint").awaitTermination()
+    table = spark.readStream.schema(f"node_id STRING, ts TIMESTAMP, fired {jobs.FIRED}")
+    return table.option("maxFilesPerTrigger", 1 if parts > 1 else 1000).parquet(path).select("node_id", "ts", "fired")
+
+
+@query("stream_firings_custom", f"WITH {FIRE_PAYLOADS} SELECT node_id, ts, alert_type, severity, message FROM f0")
+def _(spark, d):
+    """Rules of all five collectors on raw payloads, with own thresholds."""
+    path = new_path(spark, "fired")
+    jobs.fire_batches(payloads(spark, d), lambda: thresholds(spark, d), path, path + "-checkpoint").awaitTermination()
+    rows = spark.read.schema(f"node_id STRING, ts TIMESTAMP, fired {jobs.FIRED}").parquet(path)
+    return plain(rows.select("node_id", "ts", F.explode("fired").alias("f")).select("node_id", "ts", "f.*"))
+
+
+@query("stream_episodes_custom", f"WITH {PAYLOAD_EPISODES} {CHANGES}")
+def _(spark, d):
+    """Raw payloads to episode changes: own thresholds, a cooldown of a day."""
+    jobs.use_rocksdb(spark)
+    return plain(drain(jobs.episode_stream(fired_payloads(spark, d), cooldown_minutes=1440), "episodes")).drop("message")
+
+
+@query("episodes_upsert", f"""WITH {PAYLOAD_EPISODES} SELECT node_id, alert_type, severity, created_at, CASE WHEN resolved_at <= {WM} THEN resolved_at END AS resolved_at, notify
+    FROM ep WHERE created_at <= {WM}""")
+def _(spark, d):
+    """The same changes in three triggers, merged batch by batch into the episode table."""
+    jobs.use_rocksdb(spark)
+    path = new_path(spark, "episode-table")
+    changes = jobs.episode_stream(fired_payloads(spark, d, 3), cooldown_minutes=1440)
+    sinks.merge_episode_stream(changes, path, path + "-checkpoint").awaitTermination()
+    return plain(sinks.stored_episodes(spark, path).select("node_id", "alert_type", "severity", "created_at", "resolved_at", "notify"))

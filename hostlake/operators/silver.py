@@ -33,6 +33,9 @@ def _get(path: str, kind: str) -> Column:
 
 
 def _of(metrics: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
+    """Rows of a collector and the columns to keep. Rows without a metric_type are of that collector and keep all their columns."""
+    if "metric_type" not in metrics.columns:
+        return metrics, [c for c in metrics.columns if c != "data"]
     return metrics.filter(F.col("metric_type") == kind), [c for c in KEYS if c in metrics.columns]
 
 

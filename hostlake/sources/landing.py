@@ -23,6 +23,15 @@ def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.select(F.from_json("value", schema).alias("p"), *[c for c in raw.columns if c != "value"])
 
 
+def whole_payloads(raw: DataFrame, arrived_at: Column | None = None) -> DataFrame:
+    """(node_id, ts, hostname, collectors): a row per payload that names its sender, with event time as land_payloads has it."""
+    arrived = F.current_timestamp() if arrived_at is None else arrived_at
+    sent = F.coalesce(F.try_to_timestamp(F.col("p.timestamp")), arrived)
+    rows = _parsed(raw, PAYLOAD).select(F.coalesce("p.node_id", "p.lab_id").alias("node_id"), sent.cast("timestamp").alias("ts"),
+                                        F.col("p.hostname").alias("hostname"), F.col("p.collectors").alias("collectors"))
+    return rows.filter("node_id is not null and collectors is not null")
+
+
 def land_payloads(raw: DataFrame, arrived_at: Column | None = None) -> DataFrame:
     """metrics(node_id, ts, metric_type, data VARIANT, hostname, ingested_at): a row per payload and collector.
 

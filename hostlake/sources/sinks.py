@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,58 @@ def upsert_episodes(spark: SparkSession, changed: DataFrame, path: str, staged:
     (spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
 
 
+EPISODE_TABLE = ("node_id STRING, alert_type STRING, severity STRING, created_at TIMESTAMP, message STRING, resolved_at TIMESTAMP, "
+                 "notify BOOLEAN, date DATE")
+
+
+def _applied(path: str) -> str:
+    return path.rstrip("/") + "-applied"
+
+
+def last_applied(spark: SparkSession, path: str) -> int:
+    """The newest micro-batch whose changes are in the table at path, -1 before the first."""
+    try:
+        done = spark.read.schema("batch_id LONG").parquet(_applied(path)).agg(F.max("batch_id").alias("b")).first()["b"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None
+    return -1 if done is None else done
+
+
+def merge_episode_changes(changes: DataFrame, batch_id: int, path: str) -> bool:
+    """Merges one micro-batch of opened and resolved events into the episode table; False if it was merged before.
+
+    A change carries the whole episode, so a batch is reduced to one row an episode and replaces the stored one. Only the dates of
+    changed episodes are read and written. The number of a batch is noted after its merge: a replay after a loss in between merges the
+    same rows again, and a batch that was noted, or is older than one that was, changes nothing.
+    """
+    spark = changes.sparkSession
+    if batch_id <= last_applied(spark, path):
+        return False
+    keys = ["node_id", "alert_type", "created_at"]
+    newest = F.struct((F.col("event") == "resolved").alias("done"), F.col("at"), *[F.col(c) for c in ("severity", "message", "notify")])
+    rows = changes.groupBy(*keys).agg(F.max(newest).alias("x")).select(
+        "node_id", "alert_type", "x.severity", "created_at", "x.message", F.when(F.col("x.done"), F.col("x.at")).alias("resolved_at"), "x.notify")
+    staged = f"{path.rstrip('/')}-staged/{batch_id}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{staged}-changes")  # read twice below
+    rows = spark.read.schema(rows.schema).parquet(f"{staged}-changes")
+    if not rows.isEmpty():
+        upsert_episodes(spark, rows, path, staged)
+    spark.createDataFrame([(batch_id,)], "batch_id LONG").coalesce(1).write.mode("append").parquet(_applied(path))
+    return True
+
+
+def merge_episode_stream(changes: DataFrame, path: str, checkpoint: str):
+    """Runs a stream of episode changes into the table at path until its present input is done."""
+    return changes.writeStream.foreachBatch(lambda rows, batch_id: merge_episode_changes(rows, batch_id, path)).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_episodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EPISODE_TABLE).parquet(path)
+
+
 def write_alert_episodes(episodes: DataFrame, path: str) -> None:
     replace_dates(episodes, path, "created_at")
 

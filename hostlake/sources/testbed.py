@@ -171,6 +171,11 @@ def payload_lines(spark, sf_dir) -> DataFrame:
         extra(docker_samples(spark, sf_dir), "docker", "containers", True)
         .unionByName(extra(service_samples(spark, sf_dir), "services", "services", False))
         .unionByName(extra(smart_samples(spark, sf_dir), "smart", "devices", True))
+        .unionByName(extra(zfs_samples(spark, sf_dir), "zfs", "pools", True))
+        .unionByName(extra(gpu_samples(spark, sf_dir).withColumn("devices", F.transform("devices", lambda g: g.withField(
+            "memory", F.struct(*[g[f"memory_{c}"].alias(c) for c in ("total_bytes", "used_bytes", "free_bytes", "used_percent")])).dropFields(
+            *[f"memory_{c}" for c in ("total_bytes", "used_bytes", "free_bytes", "used_percent")]))), "gpu", "devices", True))
+        .groupBy("sample_id").agg(F.concat_ws("", F.sort_array(F.collect_list("more"))).alias("more"))
     )
     joined = sys.join(more, "sample_id", "left")
     return joined.select(F.concat(

@@ -3,23 +3,25 @@
 Each takes a streaming DataFrame and returns one; sinks and triggers are the caller's. All are also run
 in tests against their batch twins on the same rows. Late data: a watermark of ten minutes by default.
 
-The two stateful processors go through a node's rows of one trigger in order, so the input should be
-read with maxFilesPerTrigger or maxBytesPerTrigger: that bounds what one key can hold in a task. Backfills
+The two stateful processors keep rows in state until the watermark has passed them and then go through them in order. Backfills
 over long histories belong to the batch operators, which cut hot nodes into time slots.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.rules import fired
+from ..operators import silver
+from ..operators.accounts import THRESHOLDS
+from ..operators.rules import default_threshold, fired
 from ..operators.silver import worst_disk
-from ..sources.landing import land_payloads
+from ..sources.landing import land_payloads, whole_payloads
 
 LATE = "10 minutes"
 
@@ -71,198 +73,339 @@ def sliding_attempts(attempts: DataFrame, key: str, width: str = "1 hour", step:
                 (F.col("attempts") > allowed).alias("over_limit")))
 
 
+# ---- rules on the stream ---------------------------------------------------------------------------
+
+FIRED = "ARRAY<STRUCT<alert_type: STRING, severity: STRING, message: STRING>>"
+
+
+def cycle_firings(cycles: DataFrame, firings: DataFrame) -> DataFrame:
+    """(node_id, ts, fired ARRAY): what each payload fired, for the episode stream. For batch inputs."""
+    item = F.struct("alert_type", "severity", "message")
+    fired = firings.groupBy("node_id", "ts").agg(F.collect_list(item).alias("fired"))
+    none = F.expr("array()").cast(fired.schema["fired"].dataType)
+    return cycles.select("node_id", "ts").join(fired, ["node_id", "ts"], "left").select(
+        "node_id", "ts", F.coalesce("fired", none).alias("fired"))
+
+
+def _short(firings: Column) -> Column:
+    """What the episode stream needs of each firing."""
+    return F.transform(firings, lambda f: F.struct(*[f[c].alias(c) for c in ("alert_type", "severity", "message")])).cast(FIRED)
+
+
+def system_cycle_firings(samples: DataFrame) -> DataFrame:
+    """The same from a stream of system samples alone: stateless, evaluated in the sample's own row."""
+    rows = samples.withColumn("_worst", worst_disk("disks"))
+    return rows.select("node_id", "ts", _short(fired("system")).alias("fired"))
+
+
+PROJECTIONS = {"system": silver.system_samples, "docker": silver.docker_samples, "services": silver.service_samples,
+               "gpu": silver.gpu_samples, "smart": silver.smart_samples}
+
+
+def at_time(versions: DataFrame, key: str = "node_id", since: str = "valid_from") -> DataFrame:
+    """(key, versions ARRAY): all versions of a key's settings in one row, newest first. A key has few: they are set by hand."""
+    values = [c for c in versions.columns if c not in (key, since)]
+    item = F.struct(F.col(since).cast("timestamp").alias("since"), *values)
+    return versions.groupBy(key).agg(F.sort_array(F.collect_list(item), asc=False).alias("versions"))
+
+
+def payload_firings(payloads: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """(node_id, ts, fired ARRAY) of whole payloads (node_id, ts, collectors MAP<STRING, VARIANT>), batch or stream.
+
+    The rules of all five collectors are evaluated in the payload's own row: nothing is exploded, grouped or shuffled. `thresholds`
+    has a row for each node, or with a valid_from column a row for each version of its settings; a payload is held against the newest
+    version at or before its time, so that the result doesn't depend on when a payload is read. Nodes without one use
+    the defaults. A collector that a payload lacks fires nothing.
+    """
+    rows, known = payloads.select("node_id", F.col("ts").cast("timestamp").alias("ts"), "collectors"), ["node_id", "ts", "collectors"]
+    threshold = default_threshold
+    if thresholds is not None:
+        if "valid_from" in thresholds.columns:
+            rows = rows.join(at_time(thresholds), "node_id", "left").withColumn(
+                "_t", F.get(F.filter("versions", lambda v: v["since"] <= F.col("ts")), F.lit(0))).drop("versions")
+        else:
+            keys = [k for k in THRESHOLDS if k in thresholds.columns]
+            rows = rows.join(thresholds.select("node_id", F.struct(*keys).alias("_t")), "node_id", "left")
+        known.append("_t")
+        given = set(thresholds.columns)
+        threshold = lambda k: f"coalesce(_t.{k}, {default_threshold(k)})" if k in given else default_threshold(k)
+    for name, project in PROJECTIONS.items():
+        one = project(rows.withColumn("data", F.col("collectors")[name]))
+        if name == "system":
+            one = one.withColumn("_worst", worst_disk("disks"))
+        rows = one.select(*known, _short(fired(name, threshold)).alias(f"_{name}"))
+        known.append(f"_{name}")
+    none = F.expr("array()").cast(FIRED)
+    return rows.select("node_id", "ts", F.concat(*[F.coalesce(F.col(f"_{name}"), none) for name in PROJECTIONS]).alias("fired"))
+
+
+def payload_stream(raw: DataFrame, arrived_at: Column | None = None) -> DataFrame:
+    """Raw JSON lines to whole payloads; stateless."""
+    return whole_payloads(raw, arrived_at)
+
+
+def fire_batches(payloads: DataFrame, thresholds: Callable[[], DataFrame | None], path: str, checkpoint: str) -> StreamingQuery:
+    """Rules on a stream of payloads against a threshold table that changes: it is read anew for each micro-batch.
+
+    What a batch fires goes to its own folder under `path`, which a replay of the batch writes over. The episode stream reads
+    that table.
+    """
+    def fire(batch: DataFrame, batch_id: int) -> None:
+        payload_firings(batch, thresholds()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return payloads.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # ---- keyed state ---------------------------------------------------------------------------------
 
-COUNTERS = "ts TIMESTAMP, network ARRAY<STRUCT<interface: STRING, rx: BIGINT, tx: BIGINT>>"
+SLICE_US = 7 * 86_400_000_000
 RATE_ROWS = "node_id STRING, ts TIMESTAMP, rx_mbps DOUBLE, tx_mbps DOUBLE"
 
 
-class CounterRates(StatefulProcessor):
-    """Last counters of a node in state; the samples of a trigger are gone through in order. Samples older than the last one
-    handled are dropped, they can't set the state back."""
+def _stamp(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us * 1000)
 
-    def __init__(self, clamp: float | None = 1000.0):
-        self.clamp = clamp
+
+def _unnamed(value):
+    """Rows that came out of state as plain tuples, which can go back."""
+    if isinstance(value, tuple):
+        return tuple(_unnamed(x) for x in value)
+    return [_unnamed(x) for x in value] if isinstance(value, list) else value
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key handled in the order of their time, however they arrive.
+
+    Rows wait in state until the watermark has passed their time: then no earlier row can come any more. A timer at the earliest
+    waiting row releases them, a slice of a week after the other. So what waits is what the allowed lateness spans, and no
+    trigger's rows are put together. Subclasses say what a row keeps (`fields`, `pack`) and what a released row does (`step`).
+    """
+
+    fields: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", COUNTERS)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice LONG", f"items ARRAY<STRUCT<us: LONG, {self.fields}>>")
+        self.armed = handle.getValueState("armed", "ms LONG")
+        self.begin(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else None
-        prev_ts = pd.Timestamp(state[0]) if state else None
-        prev = {n[0]: (n[1], n[2]) for n in state[1]} if state else {}
-        # rows of one trigger arrive in any order; only this key's share of one trigger is sorted here
-        for batch in [pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")]:
-            out = []
-            for ts, net in zip(batch["ts"], batch["network"]):
-                if prev_ts is not None and ts < prev_ts:
-                    continue  # older than what the state has: its neighbours are gone
-                cur = {n["interface"]: (int(n["bytes_recv"] or 0), int(n["bytes_sent"] or 0)) for n in net}
-                rx = tx = 0.0
-                if prev_ts is not None:
-                    seconds = (ts - prev_ts).total_seconds()
-                    if seconds > 0:
-                        moved = [[max(0, now[i] - prev.get(name, (0, 0))[i]) for name, now in cur.items() if name != "lo"]
-                                 for i in (0, 1)]
-                        rx, tx = (int(sum(m) * 8 / seconds / 1e6 * 100 + 0.5) / 100 for m in moved)
-                        if self.clamp is not None:
-                            rx, tx = min(rx, self.clamp), min(tx, self.clamp)
-                out.append((key[0], ts, rx, tx))
-                prev_ts, prev = ts, cur
-            self.last.update((prev_ts.to_pydatetime(), [(n, r, t) for n, (r, t) in prev.items()]))
-            yield pd.DataFrame(out, columns=["node_id", "ts", "rx_mbps", "tx_mbps"])
+        first = None
+        for frame in rows:
+            frame = frame[frame["us"].notna()]
+            for at, part in frame.groupby(frame["us"] // SLICE_US):
+                at, items = int(at), [(int(r.us), *self.pack(r)) for r in part.itertuples(index=False)]
+                held = self.waiting.getValue((at,))[0] if self.waiting.containsKey((at,)) else []
+                self.waiting.updateValue((at,), ([*_unnamed(held), *items],))
+                first = min(part["us"].min(), first if first is not None else 1 << 62)
+        if first is not None:
+            self._arm(int(first))
+        return iter(())
+
+    def _arm(self, us: int) -> None:
+        """One timer a key, the earliest asked for."""
+        ms = -(-us // 1000)
+        now = self.armed.get()[0] if self.armed.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.armed.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.armed.clear()
+        for at in sorted(k[0] for k in self.waiting.keys()):
+            if at * SLICE_US > passed:
+                self._arm(at * SLICE_US)
+                break
+            items = sorted(_unnamed(self.waiting.getValue((at,))[0]), key=lambda item: item[0])
+            ready = [item for item in items if item[0] <= passed]
+            yield from self.step(key[0], ready)
+            if len(ready) < len(items):
+                self.waiting.updateValue((at,), (items[len(ready):],))
+                self._arm(items[len(ready)][0])
+            else:
+                self.waiting.removeKey((at,))
+        yield from self.after(key[0], passed)
+
+    def after(self, node: str, passed: int) -> Iterator[pd.DataFrame]:
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def counter_rates(samples: DataFrame, clamp: float | None = 1000.0) -> DataFrame:
-    return (
-        samples.select("node_id", F.col("ts").cast("timestamp").alias("ts"), "network").groupBy("node_id")
-        .transformWithStateInPandas(statefulProcessor=CounterRates(clamp), outputStructType=RATE_ROWS,
-                                    outputMode="append", timeMode="none"))
+class CounterRates(InOrder):
+    """Mbit/s of each sample against the node's previous one. State: the counters of the last released sample."""
 
+    fields = "network: ARRAY<STRUCT<interface: STRING, rx: BIGINT, tx: BIGINT>>"
 
-EPISODE_ROWS = ("node_id STRING, alert_type STRING, event STRING, at TIMESTAMP, created_at TIMESTAMP, severity STRING, "
-                "message STRING, notify BOOLEAN")
-OPEN = "created_at TIMESTAMP, severity STRING, message STRING, notify BOOLEAN"
+    def __init__(self, clamp: float | None = 1000.0):
+        self.clamp = clamp
 
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"us LONG, {self.fields.replace(':', ' ', 1)}")
 
-def cycle_firings(cycles: DataFrame, firings: DataFrame) -> DataFrame:
-    """(node_id, ts, fired ARRAY): what each payload fired, for the episode stream. For batch inputs."""
-    item = F.struct("alert_type", "severity", "message")
-    fired = firings.groupBy("node_id", "ts").agg(F.collect_list(item).alias("fired"))
-    none = F.expr("array()").cast(fired.schema["fired"].dataType)
-    return cycles.select("node_id", "ts").join(fired, ["node_id", "ts"], "left").select(
-        "node_id", "ts", F.coalesce("fired", none).alias("fired"))
+    def pack(self, row) -> tuple:
+        return ([(n["interface"], int(n["rx"]), int(n["tx"])) for n in row.network],)
+
+    def step(self, node: str, ready: list) -> Iterator[pd.DataFrame]:
+        if not ready:
+            return
+        state = self.last.get() if self.last.exists() else None
+        before = state[0] if state else None
+        prev = {n[0]: (n[1], n[2]) for n in state[1]} if state else {}
+        out = []
+        for us, net in ready:
+            cur = {n[0]: (n[1], n[2]) for n in net}
+            rx = tx = 0.0
+            if before is not None and us > before:
+                seconds = (us - before) / 1e6
+                moved = [[max(0, now[i] - prev.get(name, (0, 0))[i]) for name, now in cur.items() if name != "lo"] for i in (0, 1)]
+                rx, tx = (int(sum(m) * 8 / seconds / 1e6 * 100 + 0.5) / 100 for m in moved)
+                if self.clamp is not None:
+                    rx, tx = min(rx, self.clamp), min(tx, self.clamp)
+            out.append((node, _stamp(us), rx, tx))
+            before, prev = us, cur
+        self.last.update((before, [(n, r, t) for n, (r, t) in prev.items()]))
+        yield pd.DataFrame(out, columns=["node_id", "ts", "rx_mbps", "tx_mbps"])
+
+
+def counter_rates(samples: DataFrame, clamp: float | None = 1000.0, late: str = LATE) -> DataFrame:
+    """Rates of samples that arrive in any order within `late`. Needs the RocksDB state store."""
+    zero = F.lit(0).cast("bigint")
+    net = F.transform(F.coalesce("network", F.expr("array()").cast(samples.schema["network"].dataType)), lambda n: F.struct(
+        n["interface"].alias("interface"), F.coalesce(n["bytes_recv"], zero).alias("rx"), F.coalesce(n["bytes_sent"], zero).alias("tx")))
+    rows = samples.select("node_id", F.col("ts").cast("timestamp").alias("ts"), net.alias("network")).withWatermark("ts", late)
+    return rows.withColumn("us", F.unix_micros("ts")).groupBy("node_id").transformWithStateInPandas(
+        statefulProcessor=CounterRates(clamp), outputStructType=RATE_ROWS, outputMode="append", timeMode="EventTime")
 
 
-def system_cycle_firings(samples: DataFrame) -> DataFrame:
-    """The same from a stream of system samples alone: stateless, evaluated in the sample's own row."""
-    rows = samples.withColumn("_worst", worst_disk("disks"))
-    return rows.select("node_id", "ts", F.transform(fired("system"), lambda f: F.struct(
-        f["alert_type"].alias("alert_type"), f["severity"].alias("severity"), f["message"].alias("message"))).alias("fired"))
+EPISODE_ROWS = ("node_id STRING, alert_type STRING, event STRING, at TIMESTAMP, created_at TIMESTAMP, severity STRING, "
+                "message STRING, notify BOOLEAN")
 
 
-class Episodes(StatefulProcessor):
+class Episodes(InOrder):
     """Open episodes and last resolve times of a node, keyed by alert type; emits opened and resolved events.
 
-    With offline_minutes set, node_offline opens at the first check that finds no payload for that long and closes at the first
-    check after the next payload, as the batch operator has it: checks are every check_seconds of event time. Silences between
-    rows are seen when the later row comes, in whatever trigger; the last one by a timer. Payloads older than the last one
-    handled are dropped. Rows of one time are one payload; if some come in a later trigger, what they fire opens if it isn't
-    open, but a resolve that was already emitted at that time stays.
+    Rows of one time are one payload, in whatever triggers they come. With offline_minutes set, node_offline opens at the first
+    check that finds no payload for that long and closes at the first check after the next payload, as the batch operator has
+    it: checks are every check_seconds of event time. Silences between rows are seen when the later row is released, the last one by a timer.
     """
 
-    def __init__(self, cooldown_minutes: int = 15, offline_minutes: int | None = None, check_seconds: int = 120):
-        self.tick = check_seconds * 1_000_000_000
-        self.cooldown = pd.Timedelta(minutes=cooldown_minutes)
-        self.offline = None if offline_minutes is None else pd.Timedelta(minutes=offline_minutes)
+    fields = f"fired: {FIRED}"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "alert_type STRING", OPEN)
-        self.resolved = handle.getMapState("resolved", "alert_type STRING", "at TIMESTAMP")
-        self.seen = handle.getValueState("seen", "ts TIMESTAMP")
+    def __init__(self, cooldown_minutes: int = 15, offline_minutes: int | None = None, check_seconds: int = 120):
+        self.tick = check_seconds * 1_000_000
+        self.cooldown = cooldown_minutes * 60_000_000
+        self.offline = None if offline_minutes is None else offline_minutes * 60_000_000
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "alert_type STRING", "created LONG, severity STRING, message STRING, notify BOOLEAN")
+        self.resolved = handle.getMapState("resolved", "alert_type STRING", "at LONG")
+        self.seen = handle.getValueState("seen", "us LONG")
+
+    def pack(self, row) -> tuple:
+        return ([(f["alert_type"], f["severity"], f["message"]) for f in row.fired],)
+
+    def _load(self) -> None:
+        """Both maps of the node, read once for a step and written back where they changed."""
+        self.now_open = {k[0]: _unnamed(v) for k, v in self.open.iterator()}
+        self.now_resolved = {k[0]: v[0] for k, v in self.resolved.iterator()}
+        self.were = dict(self.now_open), dict(self.now_resolved)
+
+    def _store(self) -> None:
+        for kind in self.were[0].keys() - self.now_open.keys():
+            self.open.removeKey((kind,))
+        for kind, episode in self.now_open.items():
+            if self.were[0].get(kind) != episode:
+                self.open.updateValue((kind,), episode)
+        for kind, at in self.now_resolved.items():
+            if self.were[1].get(kind) != at:
+                self.resolved.updateValue((kind,), (at,))
 
     def _opened(self, node, kind, at, severity, message):
-        notify = True
-        if self.resolved.containsKey((kind,)):
-            notify = not (pd.Timestamp(self.resolved.getValue((kind,))[0]) > at - self.cooldown)
-        self.open.updateValue((kind,), (at.to_pydatetime(), severity, message, notify))
+        notify = not (kind in self.now_resolved and self.now_resolved[kind] > at - self.cooldown)
+        self.now_open[kind] = (at, severity, message, notify)
         return (node, kind, "opened", at, at, severity, message, notify)
 
     def _closed(self, node, kind, at):
-        created, severity, message, notify = self.open.getValue((kind,))
-        self.open.removeKey((kind,))
-        self.resolved.updateValue((kind,), (at.to_pydatetime(),))
-        return (node, kind, "resolved", at, pd.Timestamp(created), severity, message, notify)
+        created, severity, message, notify = self.now_open.pop(kind)
+        self.now_resolved[kind] = at
+        return (node, kind, "resolved", at, created, severity, message, notify)
 
-    def _check(self, at: pd.Timestamp) -> pd.Timestamp:
+    def _check(self, at: int) -> int:
         """The first check at or after a time."""
-        return pd.Timestamp(-(-at.as_unit("ns").value // self.tick) * self.tick)
+        return -(-at // self.tick) * self.tick
 
     @staticmethod
-    def _merged(tied) -> dict:
+    def _merged(tied: list) -> dict:
         """The firings of rows of one time by alert type; of differing ones of a type the smallest, as in the batch operator."""
-        def order(f):
-            return tuple((f[c] is not None, f[c] or "") for c in ("alert_type", "severity", "message"))
-
         now = {}
-        for f in sorted((f for fired in tied for f in fired), key=order):
-            now.setdefault(f["alert_type"], f)
+        for f in sorted((tuple(f) for _, fired in tied for f in fired), key=lambda f: [(x is not None, x or "") for x in f]):
+            now.setdefault(f[0], f)
         return now
 
     def _silence(self, node: str) -> tuple:
-        minutes = int(self.offline.total_seconds() // 60)
-        return "critical", f"No heartbeat from {node} for >{minutes} minutes"
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, node = [], key[0]
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
-        last = pd.Timestamp(self.seen.get()[0]) if self.seen.exists() else None
-        for ts, tied in batch.groupby("ts", dropna=False)["fired"]:
-            if last is not None and ts < last:
-                continue
-            now = self._merged(tied)
-            if ts == last:
-                for kind, f in sorted(now.items()):
-                    if not self.open.containsKey((kind,)):
-                        out.append(self._opened(node, kind, ts, f["severity"], f["message"]))
-                continue
+        return "critical", f"No heartbeat from {node} for >{self.offline // 60_000_000} minutes"
+
+    def step(self, node: str, ready: list) -> Iterator[pd.DataFrame]:
+        if not ready:
+            return
+        out, last = [], self.seen.get()[0] if self.seen.exists() else None
+        self._load()
+        for us, tied in itertools.groupby(ready, key=lambda item: item[0]):
+            fires = self._merged(list(tied))
             if self.offline is not None and last is not None:
                 opens = self._check(last + self.offline)
-                if opens < ts and not self.open.containsKey(("node_offline",)):
+                if opens < us and "node_offline" not in self.now_open:
                     out.append(self._opened(node, "node_offline", opens, *self._silence(node)))
-                if self.open.containsKey(("node_offline",)):
-                    out.append(self._closed(node, "node_offline", self._check(ts)))
-            last = ts
-            for kind in sorted(k[0] for k in self.open.keys()):
-                if kind not in now:
-                    out.append(self._closed(node, kind, ts))
-            for kind, f in sorted(now.items()):
-                if self.open.containsKey((kind,)):
-                    created, severity, _, notify = self.open.getValue((kind,))
-                    self.open.updateValue((kind,), (created, severity, f["message"], notify))
+                if "node_offline" in self.now_open:
+                    out.append(self._closed(node, "node_offline", self._check(us)))
+            last = us
+            for kind in sorted(self.now_open.keys() - fires.keys()):
+                out.append(self._closed(node, kind, us))
+            for kind, (_, severity, message) in sorted(fires.items()):
+                if kind in self.now_open:
+                    created, first, _, notify = self.now_open[kind]
+                    self.now_open[kind] = (created, first, message, notify)
                 else:
-                    out.append(self._opened(node, kind, ts, f["severity"], f["message"]))
-        self.seen.update((last.to_pydatetime(),))
-        if self.offline is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(self._check(last + self.offline).value // 1_000_000)
+                    out.append(self._opened(node, kind, us, severity, message))
+        self._store()
+        self.seen.update((last,))
         yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        out = []
-        if not self.open.containsKey(("node_offline",)):
-            out.append(self._opened(key[0], "node_offline", at, *self._silence(key[0])))
-        yield self._frame(out)
+    def after(self, node: str, passed: int) -> Iterator[pd.DataFrame]:
+        if self.offline is None or not self.seen.exists():
+            return
+        at = self._check(self.seen.get()[0] + self.offline)
+        if at > passed:
+            self._arm(at)
+            return
+        self._load()
+        if "node_offline" not in self.now_open:
+            opened = self._opened(node, "node_offline", at, *self._silence(node))
+            self._store()
+            yield self._frame([opened])
 
     @staticmethod
     def _frame(out) -> pd.DataFrame:
-        names = ["node_id", "alert_type", "event", "at", "created_at", "severity", "message", "notify"]
-        frame = pd.DataFrame(out, columns=names)
+        frame = pd.DataFrame(out, columns=["node_id", "alert_type", "event", "at", "created_at", "severity", "message", "notify"])
         for c in ("at", "created_at"):
-            frame[c] = pd.to_datetime(frame[c])
+            frame[c] = pd.to_datetime(frame[c].astype("int64") * 1000)
         frame["notify"] = frame["notify"].astype(bool)
         return frame
 
-    def close(self) -> None:
-        pass
-
 
 def episode_stream(cycle_rows: DataFrame, cooldown_minutes: int = 15, offline_minutes: int | None = None,
                    late: str = LATE) -> DataFrame:
-    """Opened and resolved events from (node_id, ts, fired) rows. Needs the RocksDB state store."""
-    rows = cycle_rows.select("node_id", F.col("ts").cast("timestamp").alias("ts"), "fired")
-    timed = offline_minutes is not None
-    if timed:
-        rows = rows.withWatermark("ts", late)
-    return rows.groupBy("node_id").transformWithStateInPandas(
+    """Opened and resolved events from (node_id, ts, fired) rows that arrive in any order within `late`; a payload counts once the
+    watermark has passed it. Needs the RocksDB state store."""
+    rows = cycle_rows.select("node_id", F.col("ts").cast("timestamp").alias("ts"), _short(F.col("fired")).alias("fired")).withWatermark("ts", late)
+    return rows.withColumn("us", F.unix_micros("ts")).groupBy("node_id").transformWithStateInPandas(
         statefulProcessor=Episodes(cooldown_minutes, offline_minutes), outputStructType=EPISODE_ROWS,
-        outputMode="append", timeMode="EventTime" if timed else "none")
+        outputMode="append", timeMode="EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -1,6 +1,7 @@
 """Streams fed in several steps give the rows of their batch twins."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 from hostlake.operators import series
 from hostlake.operators.episodes import alert_episodes
 from hostlake.operators.rules import firings, offline_episodes
+from hostlake.sources import landing, sinks
 from hostlake.sources import testbed as T
 from hostlake.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
+LATE_MINUTES = 20 * 1440  # the steps deal events by id, so each holds rows of the whole month: later rows belong between earlier ones
 
 
 def in_steps(spark, tmp_path, build, name):
@@ -31,26 +34,35 @@ def in_steps(spark, tmp_path, build, name):
     return spark.read.schema(df.schema).parquet(out)
 
 
+def watermark(spark, late=10):
+    """Rows up to here are out at the end of a stream: the newest time less the allowed lateness."""
+    newest = T.table(spark, SF, "events").selectExpr("max(ts) AS t").first()["t"]
+    return F.lit(newest - dt.timedelta(minutes=late)).cast("timestamp")
+
+
 def rows(df, *cols):
     return sorted(map(repr, (tuple(r) for r in df.select(*cols).collect())))
 
 
 def test_rates_carry_state_over_triggers(spark, tmp_path):
     jobs.use_rocksdb(spark)
-    got = in_steps(spark, str(tmp_path), jobs.counter_rates, "rates")
+    got = in_steps(spark, str(tmp_path), lambda s: jobs.counter_rates(s, late=f"{LATE_MINUTES} minutes"), "rates")
     want = series.network_rates(T.system_samples(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")))
+    want = want.filter(F.col("ts") <= watermark(spark, LATE_MINUTES))
     assert rows(got, "node_id", "ts", "rx_mbps", "tx_mbps") == rows(want, "node_id", "ts", "rx_mbps", "tx_mbps")
 
 
 def test_episodes_carry_state_over_triggers(spark, tmp_path):
     jobs.use_rocksdb(spark)
-    got = in_steps(spark, str(tmp_path), lambda s: jobs.episode_stream(jobs.system_cycle_firings(s)), "ep")
+    got = in_steps(spark, str(tmp_path), lambda s: jobs.episode_stream(jobs.system_cycle_firings(s), late=f"{LATE_MINUTES} minutes"), "ep")
     s = T.system_samples(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
     want = alert_episodes(firings({"system": s}), s)
     cols = ("node_id", "alert_type", "created_at", "severity", "notify")
-    assert rows(got.filter("event = 'opened'"), *cols) == rows(want, *cols)
+    end = watermark(spark, LATE_MINUTES)
+    assert want.filter(F.col("created_at") > end).count() and want.filter(F.col("created_at") <= end).count() > 200
+    assert rows(got.filter("event = 'opened'"), *cols) == rows(want.filter(F.col("created_at") <= end), *cols)
     done = got.filter("event = 'resolved'").withColumn("resolved_at", F.col("at"))
-    assert rows(done, *cols[:3], "resolved_at") == rows(want.filter("resolved_at is not null"), *cols[:3], "resolved_at")
+    assert rows(done, *cols[:3], "resolved_at") == rows(want.filter(F.col("resolved_at") <= end), *cols[:3], "resolved_at")
 
 
 @pytest.mark.parametrize("cuts", [[], [3], [1, 2, 4, 5], [2, 5]])
@@ -63,11 +75,11 @@ def test_offline_is_the_same_in_any_triggers(spark, tmp_path, cuts):
     out, check, src = (str(tmp_path / x) for x in ("out", "check", "src"))
     edges = [0, *cuts, len(seen)]
     for a, b in zip(edges, edges[1:]):
-        part = [("n1", t) for t in seen[a:b]] + ([("n1", seen[a - 1] - dt.timedelta(seconds=1))] if a else [])
+        part = [("n1", t) for t in seen[a:b]] + ([("n1", seen[a - 1] - dt.timedelta(seconds=1))] if a else [])  # dropped: too late
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{src}/p{a}")
         rows_ = spark.readStream.schema(schema).parquet(f"{src}/p*")
         none = F.expr("array()").cast("array<struct<alert_type:string,severity:string,message:string>>")
-        df = jobs.episode_stream(rows_.select("node_id", "ts", none.alias("fired")), offline_minutes=5)
+        df = jobs.episode_stream(rows_.select("node_id", "ts", none.alias("fired")), offline_minutes=5, late="0 seconds")
         df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(df.schema).parquet(out)
     batch = offline_episodes(spark.createDataFrame([("n1", t) for t in seen], schema), F.lit(seen[-1]).cast("timestamp"), 5)
@@ -77,25 +89,80 @@ def test_offline_is_the_same_in_any_triggers(spark, tmp_path, cuts):
     assert opened == [a for a, _ in want] and len(want) == 2 and [b for _, b in closed] == [b for _, b in want]
 
 
-@pytest.mark.parametrize("triggers", [1, 2])
-def test_rows_of_one_time_are_one_payload(spark, tmp_path, triggers):
-    """Rows of a node with equal times and different firings, in one trigger or the tie in a later one."""
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4, 5, 6], [5, 2, 0, 1, 4, 3, 6], [1, 0, 3, 2, 5, 4, 6]])
+@pytest.mark.parametrize("cuts", [[], [2], [1, 3, 5]])
+def test_rows_of_one_time_are_one_payload(spark, tmp_path, order, cuts):
+    """Rows of a node with equal times and different firings, in any order and in any triggers, give the batch episodes."""
     jobs.use_rocksdb(spark)
     t0 = dt.datetime(2024, 1, 1)
-    given = [(0, []), (60, [("cpu", "warning", "c1")]), (60, [("disk", "critical", "d1"), ("cpu", "critical", "c0")]), (120, [("disk", "critical", "d2")]), (120, []), (180, [])]
-    cut = len(given) if triggers == 1 else 2
+    given = [(0, []), (60, [("cpu", "warning", "c1")]), (60, [("disk", "critical", "d1"), ("cpu", "critical", "c0")]), (120, [("disk", "critical", "d2")]), (120, []), (180, []),
+             (9000, [])]
     schema = "node_id STRING, ts TIMESTAMP, fired ARRAY<STRUCT<alert_type: STRING, severity: STRING, message: STRING>>"
-    rows_ = [("n1", t0 + dt.timedelta(seconds=s), fired) for s, fired in given]
+    rows_ = [("n1", t0 + dt.timedelta(seconds=given[i][0]), given[i][1]) for i in order]
     out, check, src = (str(tmp_path / x) for x in ("out", "check", "src"))
-    for i, part in enumerate(p for p in (rows_[:cut], rows_[cut:]) if p):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{src}/p{i}")
-        df = jobs.episode_stream(spark.readStream.schema(schema).parquet(f"{src}/p*"))
+    edges = [0, *cuts, len(rows_)]
+    for a, b in zip(edges, edges[1:]):
+        spark.createDataFrame(rows_[a:b], schema).coalesce(1).write.mode("append").parquet(f"{src}/p{a}")
+        df = jobs.episode_stream(spark.readStream.schema(schema).parquet(f"{src}/p*"), late="145 minutes")
         df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(df.schema).parquet(out)
     all_rows = spark.createDataFrame(rows_, schema)
     fired = all_rows.select("node_id", "ts", F.explode("fired").alias("f")).select("node_id", "ts", "f.*", F.lit(None).cast("double").alias("value"))
     want = alert_episodes(fired, all_rows.select("node_id", "ts"))
-    cols = ("node_id", "alert_type", "created_at") + (("severity", "notify") if triggers == 1 else ())
+    cols = ("node_id", "alert_type", "created_at", "severity", "notify")
     assert want.count() == 2 and rows(got.filter("event = 'opened'"), *cols) == rows(want, *cols)
     done = got.filter("event = 'resolved'").withColumn("resolved_at", F.col("at"))
     assert rows(done, *cols[:3], "resolved_at") == rows(want, *cols[:3], "resolved_at")
+
+
+def payloads(spark, lines, path):
+    spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.mode("append").text(path)
+    return jobs.payload_stream(spark.readStream.text(path))
+
+
+def payload(second, cpu):
+    return json.dumps({"lab_id": "n1", "timestamp": f"2024-01-01T00:00:{second:02d}Z", "collectors": {"system": {"cpu": {"total_percent": cpu, "count": 4}}}})
+
+
+def test_thresholds_are_read_for_each_batch(spark, tmp_path):
+    """A limit that changes between two micro-batches counts for the second one; a replayed batch writes over its own folder."""
+    limits, src, out, check = [90.0], str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "check")
+    read = lambda: spark.createDataFrame([("n1", limits[0])], "node_id STRING, cpu_warning DOUBLE")
+    for second, limit in ((0, 90.0), (30, 50.0)):
+        limits[0] = limit
+        jobs.fire_batches(payloads(spark, [payload(second, 70)], src), read, out, check).awaitTermination()
+    got = spark.read.parquet(out).select("ts", F.size("fired").alias("n")).orderBy("ts").collect()
+    assert [r["n"] for r in got] == [0, 1]
+
+
+def test_versions_of_thresholds_hold_at_the_time_of_a_payload(spark):
+    """The newest version at or before a payload's time; before the first one the defaults; null versions and unknown nodes too."""
+    raw = spark.createDataFrame([(payload(s, 70),) for s in (0, 10, 20, 30)] + [("{}",), (None,)], "value STRING")
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    versions = spark.createDataFrame([("n1", t(10), 60.0), ("n1", t(20), 80.0), ("n1", t(30), None), ("n2", t(0), 1.0)], "node_id STRING, valid_from TIMESTAMP, cpu_warning DOUBLE")
+    got = jobs.payload_firings(landing.whole_payloads(raw), versions).select("ts", F.size("fired").alias("n")).orderBy("ts").collect()
+    assert [r["n"] for r in got] == [0, 1, 0, 0]
+    assert jobs.payload_firings(landing.whole_payloads(raw)).filter("size(fired) > 0").count() == 0
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """Batches merge once each: a replay of the last or an older one leaves the table as it is; dates without changes keep their files."""
+    path = str(tmp_path / "episodes")
+    t = lambda d, h: dt.datetime(2024, 1, d, h)
+    schema = "node_id STRING, alert_type STRING, event STRING, at TIMESTAMP, created_at TIMESTAMP, severity STRING, message STRING, notify BOOLEAN"
+    one = spark.createDataFrame([("n1", "cpu", "opened", t(1, 1), t(1, 1), "warning", "a", True), ("n1", "disk", "opened", t(2, 1), t(2, 1), "critical", "b", True),
+                                 ("n2", "cpu", "opened", t(1, 1), t(1, 1), "warning", "c", True), ("n2", "cpu", "resolved", t(1, 2), t(1, 1), "warning", "c2", True)], schema)
+    two = spark.createDataFrame([("n1", "cpu", "resolved", t(3, 1), t(1, 1), "warning", "a2", True)], schema)
+    table = lambda: rows(sinks.stored_episodes(spark, path), "node_id", "alert_type", "created_at", "message", "resolved_at", "notify")
+    files = lambda day: sorted(f for f in os.listdir(f"{path}/date=2024-01-{day:02d}") if f.endswith("parquet"))
+    assert sinks.last_applied(spark, path) == -1
+    assert sinks.merge_episode_changes(one, 0, path) and len(table()) == 3
+    first, second_day = table(), files(2)
+    assert not sinks.merge_episode_changes(one, 0, path) and table() == first
+    assert sinks.merge_episode_changes(two, 1, path) and len(table()) == 3 and table() != first and files(2) == second_day
+    now = table()
+    for batch, changes in ((1, two), (0, one)):
+        assert not sinks.merge_episode_changes(changes, batch, path) and table() == now
+    assert sinks.merge_episode_changes(two.limit(0), 2, path) and table() == now and sinks.last_applied(spark, path) == 2
+    sinks.upsert_episodes(spark, spark.read.parquet(path).drop("date"), path, str(tmp_path / "again"))  # a batch lost between merge and note: the same rows again
+    assert table() == now
