@@ -83,7 +83,7 @@ def _moved(field: str) -> Column:
     return F.coalesce(F.aggregate(real, F.lit(0).cast("bigint"), lambda a, n: a + one(n)), F.lit(0).cast("bigint"))
 
 
-def _rates(rows: DataFrame, clamp: float | None) -> DataFrame:
+def _rates(rows: DataFrame, clamp: float | None, keep: tuple[str, ...] = ()) -> DataFrame:
     seconds = (micros("ts") - micros("prev_ts")) / F.lit(1_000_000.0)
     known = F.coalesce("prev_network", F.expr("array()").cast(rows.schema["network"].dataType))
     rows = rows.withColumn("prev_network", known)
@@ -93,14 +93,14 @@ def _rates(rows: DataFrame, clamp: float | None) -> DataFrame:
         if clamp is not None:
             rate = F.least(rate, F.lit(float(clamp)))
         out[name] = F.when(seconds > 0, rate).otherwise(0.0)
-    return rows.withColumns(out).select("node_id", "ts", "sample_id", "rx_mbps", "tx_mbps")
+    return rows.withColumns(out).select("node_id", "ts", "sample_id", *keep, "rx_mbps", "tx_mbps")
 
 
-def network_rates(samples: DataFrame, clamp: float | None = 1000.0, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """Mbit/s per sample against the node's previous sample, 0 for the first."""
-    rows = with_neighbours(samples.select("node_id", "ts", "sample_id", "network"), ["node_id"], "ts",
+def network_rates(samples: DataFrame, clamp: float | None = 1000.0, slot_seconds: int = SLOT_SECONDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Mbit/s per sample against the node's previous sample, 0 for the first. `keep`: further columns of the sample that stay."""
+    rows = with_neighbours(samples.select("node_id", "ts", "sample_id", "network", *keep), ["node_id"], "ts",
                            ["ts", "network"], tie="sample_id", slot_seconds=slot_seconds)
-    return _rates(rows, clamp)
+    return _rates(rows, clamp, keep)
 
 
 def latest_network_rates(samples: DataFrame, clamp: float | None = None) -> DataFrame:
@@ -115,34 +115,54 @@ def latest_network_rates(samples: DataFrame, clamp: float | None = None) -> Data
     return _rates(pair.filter("prev_ts < ts"), clamp)
 
 
-def spike_filter(rates: DataFrame, columns: tuple[str, ...] = ("rx_mbps", "tx_mbps")) -> DataFrame:
-    """Values over ten times the node's upper median of non-zero values (at least 100) become 0.
+BUCKETS_PER_E = 256  # a bucket of the first step is 0.4 % wide
+
+
+def upper_medians(rows: DataFrame, columns: tuple[str, ...], least: int = 3) -> DataFrame:
+    """(node_id, m_<column>): sorted[n div 2] of a node's values over 0, null with fewer than `least` of them.
 
-    Needs three non-zero values. Counting from the top, the middle element is sorted[n div 2] of the
-    ascending order. Rates are rounded and clamped, so the median aggregate keeps few distinct values.
+    No buffer holds a node's values. Counts by logarithmic bucket say which bucket has the middle place and which place it is in
+    there; a node has at most BUCKETS_PER_E times 1,490 buckets, whatever its rows. Only that bucket's values are
+    looked at again: equal ones are counted together, and a running count in their order stops at the place. NaN counts as no value.
     """
-    aggs = []
-    for c in columns:
-        aggs += [
-            F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY IF({c} > 0, {c}, NULL) DESC)").alias(f"_m_{c}"),
-            F.count_if(F.col(c) > 0).alias(f"_n_{c}")]
-    med = rates.groupBy("node_id").agg(*aggs)
-    out = rates.join(med, "node_id")
+    group = ["node_id", "_series"]
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("_series"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
+    values = rows.select("node_id", one.alias("_x")).select("node_id", "_x.*").filter("_v > 0 and not isnan(_v)")
+    # infinite values are a bucket of their own, the last one
+    values = values.withColumn("_bucket", F.when(F.col("_v") < float("inf"), F.floor(F.log("_v") * BUCKETS_PER_E)).otherwise(1 << 40))
+
+    def place(counts: DataFrame, order: str) -> DataFrame:
+        upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return counts.withColumn("_before", upto - F.col("_n"))
+
+    counts = values.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    middle = F.expr("_total div 2")
+    chosen = (
+        place(counts, "_bucket").withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+        .filter((F.col("_total") >= least) & (F.col("_before") <= middle) & (middle < F.col("_before") + F.col("_n")))
+        .select(*group, "_bucket", (middle - F.col("_before")).alias("_place")))
+    inside = values.join(chosen, [*group, "_bucket"]).groupBy(*group, "_place", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    found = place(inside, "_v").filter((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n")))
+    return found.groupBy("node_id").agg(*[F.max(F.when(F.col("_series") == i, F.col("_v"))).alias(f"m_{c}") for i, c in enumerate(columns)])
+
+
+def spike_filter(rates: DataFrame, columns: tuple[str, ...] = ("rx_mbps", "tx_mbps")) -> DataFrame:
+    """Values over ten times the node's upper median of non-zero values (at least 100) become 0. Needs three non-zero values."""
+    out = rates.join(upper_medians(rates, columns), "node_id", "left")
     for c in columns:
-        limit = F.greatest(F.col(f"_m_{c}") * 10, F.lit(100.0))
-        out = out.withColumn(c, F.when((F.col(f"_n_{c}") >= 3) & (F.col(c) > limit), 0.0).otherwise(F.col(c)))
+        spike = F.col(f"m_{c}").isNotNull() & (F.col(c) > F.greatest(F.col(f"m_{c}") * 10, F.lit(100.0)))
+        out = out.withColumn(c, F.when(spike, 0.0).otherwise(F.col(c)))
     return out.select(*rates.columns)
 
 
 def history_series(samples: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Aligned chart series per node: load figures with 0 for missing, and cleaned network rates."""
-    s = window_since(samples, max(1, min(hours, 8760)), as_of)
-    net = spike_filter(network_rates(s))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    base = s.select("node_id", "ts", "sample_id", zero("cpu_percent").alias("cpu"), zero("memory_percent").alias("memory"),
-                    zero("disk_percent").alias("disk"), zero("load1").alias("load"))
-    return base.join(net, ["node_id", "ts", "sample_id"]).select(
-        "node_id", "ts", "cpu", "memory", "disk", "load", F.col("rx_mbps").alias("net_rx"), F.col("tx_mbps").alias("net_tx"))
+    s = window_since(samples, max(1, min(hours, 8760)), as_of)
+    figures = {"cpu": "cpu_percent", "memory": "memory_percent", "disk": "disk_percent", "load": "load1"}
+    s = s.select("node_id", "ts", "sample_id", "network", *[zero(c).alias(name) for name, c in figures.items()])
+    return spike_filter(network_rates(s, keep=tuple(figures))).select(
+        "node_id", "ts", *figures, F.col("rx_mbps").alias("net_rx"), F.col("tx_mbps").alias("net_tx"))
 
 
 def gpu_history(gpu: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:

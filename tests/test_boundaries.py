@@ -1,6 +1,8 @@
 """Hand-computed boundary cases."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,22 @@ def spikes(spark, vs):
     return [v for _, v in values(series.spike_filter(df, ("v",)), "i", "v")]
 
 
+def test_upper_medians(spark):
+    """Against sorted lists: ties, wide ranges, neighbours inside one bucket, infinities, nulls, NaN, values not over 0, two columns."""
+    rng = random.Random(8)
+    lists = {"a": [rng.random() * 10 ** rng.randint(-300, 300) for _ in range(501)], "b": [7.0] * 40 + [7.000000001] * 41, "c": [1.0, 2.0], "d": [math.inf] * 3 + [1.0],
+             "e": [100 + rng.random() / 1e9 for _ in range(200)], "f": [0.0, -1.0, None, math.nan, 3.0, 1.0, 2.0], "g": [5e-324, 1e-323, 1.7e308], "h": [float(rng.randint(1, 9)) for _ in range(1000)]}
+    rows = [(k, v, 2 * v if v is not None and abs(v) < 1e300 else None) for k, vs in lists.items() for v in vs]
+    got = {r["node_id"]: (r["m_v"], r["m_w"]) for r in series.upper_medians(spark.createDataFrame(rows, "node_id STRING, v DOUBLE, w DOUBLE"), ("v", "w")).collect()}
+
+    def plain(vs):
+        vs = sorted(v for v in vs if v is not None and v > 0)
+        return vs[len(vs) // 2] if len(vs) >= 3 else None
+
+    want = {k: (plain(vs), plain([w for n, _, w in rows if n == k])) for k, vs in lists.items()}
+    assert got == {k: v for k, v in want.items() if v != (None, None)}
+
+
 def test_spike_filter(spark):
     assert spikes(spark, [1, 2, 3, 500]) == [1, 2, 3, 0]
     assert spikes(spark, [1, 500]) == [1, 500]
