@@ -2,12 +2,12 @@
 
 The model merges characters pair by pair, the best-scored piece first, the leftmost among equals. An encoding of that kind can be
 checked locally: a row of pieces is the encoding if each two neighbours, merged anew alone, stay these two pieces. So the encoder goes
-forward with the longest piece at each place, which one Aho-Corasick pass over the text finds, falls back to the next shorter one
+forward with the longest piece at each place, which an Aho-Corasick automaton finds, falls back to the next shorter one
 where neighbours don't fit, and steps back where none does. A bit for each place remembers that nothing fits from there, so that no place
 is tried twice.
 
 Texts are first cut where no piece of the vocabulary reaches across: before a space, and around white space that no piece has.
-A worker keeps the ids of short cuts. Longer ones are gone through in windows, so memory grows with the text alone.
+A worker keeps the ids of short cuts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from hostlake.llm.common import register, row_groups, table, text_bytes
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"  # fixed value: the sign for a space
 UNKNOWN_TEXT = " ⁇ "  # fixed value: what the unknown id decodes to
-WINDOW = 1 << 16
 SLICE = 1 << 20
 CACHE_CUTS = 1 << 18
 CACHED_LENGTH = 64
@@ -53,19 +52,19 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-class _Cuts(dict):
-    """Ids of cuts, as little-endian 32-bit numbers; computed when missing, forgotten all at once when there are too many."""
+class Kept(dict):
+    """Answers for short cuts, in two generations: when the younger is full it becomes the older, so that frequent cuts stay."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, answer, limit: int = CACHE_CUTS):
+        self.answer, self.limit, self.older = answer, limit, {}
 
-    def __missing__(self, cut: str) -> bytes:
-        ids = self.encode(cut)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        out = ids.tobytes()
+    def __missing__(self, cut: str):
+        out = self.older.get(cut)
+        if out is None:
+            out = self.answer(cut)
         if len(cut) <= CACHED_LENGTH:
-            if len(self) >= CACHE_CUTS:
+            if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[cut] = out
         return out
@@ -96,7 +95,7 @@ class Pieces:
         self.characters = {c for piece in self.id for c in piece}
         self.search = ahocorasick.Automaton()
         for piece, i in self.id.items():
-            self.search.add_word(piece, (len(piece) - 1, i))
+            self.search.add_word(piece, i)
         self.search.make_automaton()
         # what each id decodes to; byte pieces to their byte
         self.bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else UNKNOWN_TEXT.encode() if i == self.unknown
@@ -110,7 +109,7 @@ class Pieces:
             apart = "".join(c for c in "\n\t\r\x0b\x0c" if c not in self.characters)
             self.cut = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else ""))
             self.slice_end = re.compile(f"[^{SPACE}](?={SPACE})")
-        self.cuts = _Cuts(self.encode_cut)
+        self.cuts = Kept(self._packed)
 
     # ---- the model's own rule, for short strings ----
 
@@ -136,13 +135,11 @@ class Pieces:
         return ok
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether two pieces side by side, merged anew, stay these two."""
-        key = a << 32 | b
-        ok = self._fits.get(key)
-        if ok is None:
-            if len(self._fits) >= 4 * CACHE_CUTS:
-                self._fits.clear()
-            ok = self._fits[key] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        """Whether piece b, and a and b side by side, merged anew, stay what they are; a is -1 at the start."""
+        if len(self._fits) >= 4 * CACHE_CUTS:
+            self._fits.clear()
+        parts = [self.text[a], self.text[b]] if a >= 0 else [self.text[b]]
+        ok = self._fits[a << 32 | b] = self.alone(b) and self.merged("".join(parts)) == parts
         return ok
 
     def shorter(self, i: int) -> int:
@@ -155,42 +152,37 @@ class Pieces:
 
     # ---- backtracking ----
 
-    def longest(self, text: str, a: int, b: int) -> array:
-        """The longest piece at each place of text[a:b]; -1 where no piece starts."""
-        out = array("i", [-1]) * (b - a)
-        for last, (back, i) in self.search.iter(text, a, min(len(text), b + self.widest)):
-            at = last - back - a
-            if 0 <= at < b - a:
-                out[at] = i  # of one place, longer ones end later
-        return out
-
     def _known(self, text: str) -> array:
         """Ids of a text whose characters are all pieces."""
-        n, length = len(text), self.length
-        failed = bytearray((n >> 3) + 1)
+        n, length, search, widest, fits = len(text), self.length, self.search, self.widest, self._fits
+        failed = None
         out = array("i")
-        low, window = 0, self.longest(text, 0, min(n, WINDOW))
-        pos, i = 0, window[0] if n else -1
+        pos, last, i = 0, -1, -1
         while pos < n:
-            last = out[-1] if out else -1
+            if i == -1:
+                i = next(search.iter_long(text[pos:pos + widest]))[1]
             while i >= 0:
-                end = pos + length[i]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.alone(i) and (last < 0 or self.fits(last, i)):
-                    break
+                key = last << 32 | i
+                ok = fits.get(key)
+                if ok is None:
+                    ok = self.fits(last, i)
+                if ok:
+                    end = pos + length[i]
+                    if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                        break
                 i = self.shorter(i)
             if i >= 0:
                 out.append(i)
-                pos = end
-                if pos < n:
-                    if not low <= pos < low + len(window):
-                        low = pos
-                        window = self.longest(text, low, min(n, low + WINDOW))
-                    i = window[pos - low]
+                pos, last, i = end, i, -1
             else:  # no piece goes on from here
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 last = out.pop()
                 pos -= length[last]
-                i = self.shorter(last)
+                i, last = self.shorter(last), out[-1] if out else -1
+                if i < 0:
+                    i = -2
         return out
 
     def encode_cut(self, cut: str) -> array:
@@ -206,6 +198,13 @@ class Pieces:
         out.extend(self._known(cut[start:]))
         return out
 
+    def _packed(self, cut: str) -> bytes:
+        """Ids of a cut as little-endian 32-bit numbers."""
+        ids = self.encode_cut(cut)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, without control ids."""
         if not text:
