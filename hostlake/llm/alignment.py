@@ -12,7 +12,9 @@ Texts are cut where both tokenizers are known to end a token, and a worker keeps
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,12 @@ from pyspark.sql import functions as F
 
 from hostlake.llm.common import register, row_groups, table, text_bytes, written
 from hostlake.llm.packing import PATTERN
-from hostlake.llm.pieces import SPACE, Pieces, model_bytes, pieces_of
+from hostlake.llm.pieces import SPACE, Kept, Pieces, model_bytes, pieces_of
 
 FIRST = "byte_bpe_50k.json"
 CHUNK_DOCUMENTS = 1 << 16
 CHUNK_POSTINGS = 1 << 21
 CACHE_CUTS = 1 << 18
-CACHED_LENGTH = 64
-LONG_CUT = 4096
 SLICE = 1 << 20
 DENSE = 16  # a container with more than one position in so many is kept as bits
 #: Characters beside space, line feed and tab that some take for white space: never beside a cut.
@@ -55,18 +55,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-class Aligner(dict):
+class Aligner(Kept):
     """Cut -> (tokens of A, tokens of B, links, groups, what the tokens spell if that isn't the cut)."""
 
     def __init__(self, first: bytes, second: Pieces):
-        import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a, self.b = Tokenizer.from_str(first.decode()), second
-        self.a.encode_special_tokens = True
+        super().__init__(self.align, CACHE_CUTS)
         alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
-        self.piece = regex.compile(PATTERN)
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in json.loads(first)["model"]["vocab"].items() if all(c in alphabet for c in t)}
+        self.a = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})  # ids ascend in the order of merges
+        self.a_bytes = {i: t for t, i in ranks.items()}
+        self.b = second
         if second.cut is None:
             self.cut = self.slice_end = None
         else:
@@ -77,30 +77,10 @@ class Aligner(dict):
             self.cut = re.compile(f"(?:{w}{{2,}}{v}*| {v}+|{single} |{v}+|[{g}]+{w}*{v}*)(?:[{g}]+{w}*{v}*)*")
             self.slice_end = re.compile(f"{v}(?= {v})")
 
-    def __missing__(self, cut: str) -> tuple:
-        out = self.align(cut)
-        if len(cut) <= CACHED_LENGTH:
-            if len(self) >= CACHE_CUTS:
-                self.clear()
-            self[cut] = out
-        return out
-
-    def first_ids(self, cut: str) -> list[int]:
-        if len(cut) <= LONG_CUT:
-            return self.a.encode(cut, add_special_tokens=False).ids
-        out, parts, size = [], [], 0
-        for m in self.piece.finditer(cut):  # the tokenizer never merges over these ends
-            parts.append(m.group())
-            size += len(parts[-1])
-            if size > SLICE:
-                out += [i for e in self.a.encode_batch(parts, add_special_tokens=False) for i in e.ids]
-                parts, size = [], 0
-        return out + [i for e in self.a.encode_batch(parts, add_special_tokens=False) for i in e.ids]
-
     def align(self, cut: str) -> tuple:
         """One cut, which starts with the space in front where it is the first of its text."""
         want = cut.encode()
-        a, b = self.first_ids(cut), self.b.encode_cut(cut.replace(" ", SPACE)).tolist()
+        a, b = self.a.encode_ordinary(cut), self.b.encode_cut(cut.replace(" ", SPACE)).tolist()
         spelled = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b.bytes.__getitem__, b))
         if spelled != (want, want):
             return len(a), len(b), b"", "", spelled
@@ -116,7 +96,7 @@ class Aligner(dict):
                 links.append(a[i - 1] << 32 | b[j - 1])
                 groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
                 from_i, from_j = i, j
-        return len(a), len(b), np.array(links, np.int64).tobytes(), ";".join(groups), None
+        return len(a), len(b), array("q", links).tobytes(), ";".join(groups), None
 
     def document(self, text: str | None) -> tuple[int, int, np.ndarray, str]:
         """(tokens of A, tokens of B, link codes, groups); nothing if either tokenizer doesn't spell the text."""
