@@ -30,12 +30,15 @@ from hostlake.llm.pieces import SPACE, Kept, Pieces, model_bytes, pieces_of
 FIRST = "byte_bpe_50k.json"
 CHUNK_DOCUMENTS = 1 << 16
 CHUNK_POSTINGS = 1 << 21
-CACHE_CUTS = 1 << 18
+CACHE_CUTS = 3 << 17
 SLICE = 1 << 20
 DENSE = 16  # a container with more than one position in so many is kept as bits
 #: Characters beside space, line feed and tab that some take for white space: never beside a cut.
 _DOUBTFUL = "\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎ -‏    ⁠　﻿"
 
+#: Letters and digits about which no two versions of Unicode differ.
+_LETTER = "[A-Za-z0-9À-ÖØ-öø-ɏ]"
+
 _aligners: dict[tuple[bytes, bytes], "Aligner"] = {}
 
 
@@ -67,6 +70,9 @@ class Aligner(Kept):
         self.a = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})  # ids ascend in the order of merges
         self.a_bytes = {i: t for t, i in ranks.items()}
         self.b = second
+        self.a_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]
+        self.b_size = list(map(len, second.bytes))
+        self.names = list(map(str, range(max(len(self.a_size), len(self.b_size)))))
         if second.cut is None:
             self.cut = self.slice_end = None
         else:
@@ -74,7 +80,11 @@ class Aligner(Kept):
             g = _DOUBTFUL + "".join(c for c in "\n\t" if c not in plain)
             w, v = f"[ {plain}]", f"[^ {plain}{g}]"
             single = f"[{plain}]|" if plain else ""
-            self.cut = re.compile(f"(?:{w}{{2,}}{v}*| {v}+|{single} |{v}+|[{g}]+{w}*{v}*)(?:[{g}]+{w}*{v}*)*")
+            # between a letter or digit and a sign that no piece of B has after one; A never has them in one token
+            after = {y for piece in second.id for x, y in zip(piece, piece[1:]) if re.match(_LETTER, x)}
+            signs = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after))
+            before_sign = f" ?{_LETTER}+(?=[{signs}])|" if signs else ""
+            self.cut = re.compile(f"{before_sign}(?:{w}{{2,}}{v}*| {v}+|{single} |{v}+|[{g}]+{w}*{v}*)(?:[{g}]+{w}*{v}*)*")
             self.slice_end = re.compile(f"{v}(?= {v})")
 
     def align(self, cut: str) -> tuple:
@@ -84,18 +94,21 @@ class Aligner(Kept):
         spelled = b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b.bytes.__getitem__, b))
         if spelled != (want, want):
             return len(a), len(b), b"", "", spelled
-        links, groups, i, j, end_a, end_b, from_i, from_j = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += len(self.a_bytes[a[i]])
-                i += 1
-            else:
-                end_b += len(self.b.bytes[b[j]])
-                j += 1
+        size_a, size_b, names, links, groups = self.a_size, self.b_size, self.names, [], []
+        end_a = end_b = at = 0
+        in_a, in_b = [], []
+        for x in a:
+            end_a += size_a[x]
+            in_a.append(names[x])
+            while end_b < end_a:
+                y = b[at]
+                end_b += size_b[y]
+                at += 1
+                in_b.append(names[y])
             if end_a == end_b:
-                links.append(a[i - 1] << 32 | b[j - 1])
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                from_i, from_j = i, j
+                links.append(x << 32 | y)
+                groups.append(f"{','.join(in_a)}|{','.join(in_b)}")
+                in_a, in_b = [], []
         return len(a), len(b), array("q", links).tobytes(), ";".join(groups), None
 
     def document(self, text: str | None) -> tuple[int, int, np.ndarray, str]:
