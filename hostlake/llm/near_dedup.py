@@ -5,11 +5,11 @@ Permutation `sigma` scatters a document's shingles over a universe of 2 ** 20 ce
 one copy of a slice instead of 128 hash functions. Bands of coordinates propose pairs; the full shingle sets decide.
 
 Documents with equal sets are one class. Members of a bucket with too many shingles of their own for any link leave it. The others
-are first held against one leader. Where a bucket still spans several components, the members outside its main component are
-held against a few hubs of the main component, others each round, a linear number of pairs; then against all others that are
-not in their component. Before full sets meet, sketches of 1,024 bits (one of each of 1,024 circulant coordinates) rule out pairs
-that are far below the similarity. No pair is emitted inside a component, and nothing is capped. A pair at similarity 0.75
-exactly is missed with a probability of about 1e-5 for each link.
+are held against one leader of the bucket. Two members that both link with it are in one component and need no pair. For any other
+two, the leader's set tells how much their differences from it must have in common to link (`_across`), so they meet in an equi-join on
+elements of the differences, rare ones first, and only as far into each difference as the required common part leaves room. Before full
+sets meet, sketches of 1,024 bits (one of each of 1,024 circulant coordinates) rule out pairs that are far below the similarity.
+Nothing is capped. A pair at similarity 0.75 exactly is missed with a probability of about 1e-5 for each link.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostlake.llm.common import (U64, byte_classes, in_bits, membership_bits, mix, register, row_groups, shingle_hashes, table, text_bytes,
@@ -30,7 +30,6 @@ SHINGLE = 5
 UNIVERSE_BITS = 20
 BANDS, BAND_ROWS = 32, 4
 SKETCH_BITS = 1024
-HUB_ROUNDS, HUBS = 4, 4
 SEED = 20240
 
 
@@ -191,15 +190,44 @@ def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(fit.join(crowded, "key"), "members")
 
 
-def _spanning(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, component, size, main) of the buckets that span components; main: the component with most members."""
-    placed = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    by = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    spans = by.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"),
-                                  F.max(F.struct("c", F.negate("component").alias("k"))).alias("most")).where("size * size > inside")
-    spans = spans.select("key", "size", (-F.col("most.k")).alias("main"), ((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("across"))
-    return written(placed.join(spans, "key"), "spans")
+def _differences(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(lead, rep, w, excess, diff) of the pairs (a: member, b: leader): diff has the shingles of one set alone; a member and its leader
+    link where excess <= 0."""
+    held = (led.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
+    added, missing = F.array_except("sa", "sb"), F.array_except("sb", "sa")
+    cut = held.select(F.col("b").alias("lead"), F.col("a").alias("rep"), F.size("sb").alias("h"), added.alias("added"), missing.alias("missing"))
+    w = 100 * F.size("missing") + percent * F.size("added")
+    return cut.select("lead", "rep", w.alias("w"), (w - (100 - percent) * F.col("h")).alias("excess"), F.concat("missing", "added").alias("diff"))
+
+
+def _across(led: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a leader's buckets that may link although they are in different components so far. Exact: no link is left out.
+
+    With h the leader's set, M(x) = h without x, A(x) = x without h and w(x) = 100 |M(x)| + percent |A(x)|, members x and y link exactly
+    where (100 + percent) c >= w(x) + w(y) - (100 - percent) |h|, c being how many elements M(x) and M(y), A(x) and A(y) have in
+    common. So one that links with the leader has w(x) <= (100 - percent) |h|; where c = 0 both do, and need no pair. For any other x,
+    with excess e(x) = w(x) - (100 - percent) |h|, w(y) >= percent c gives 100 c >= e(x). The first common element, rare ones first, then
+    has c - 1 others behind it in either difference, which bounds how far elements count.
+    """
+    placed = led.join(comps.select(F.col("id").alias("a"), "component"), "a", "left").select("a", "b", F.coalesce("component", "a").alias("component"))
+    spread = written(placed.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("b"), "spread")
+    placed = written(placed.join(spread, "b"), "placed")
+    cut = written(_differences(placed.select("a", "b"), sets, percent), "differences")
+    outside = cut.where("excess > 0").groupBy("lead").agg(F.min("excess").alias("least"))
+    parts = cut.join(outside, "lead").join(placed.select(F.col("b").alias("lead"), F.col("a").alias("rep"), "component"), ["lead", "rep"])
+    parts = parts.withColumn("need", F.ceil(F.when(F.col("excess") > 0, F.col("excess") / 100).otherwise((F.col("w") + F.col("least")) / (100 + percent))))
+    each = parts.select("lead", "rep", "component", "w", "excess", "need", F.explode("diff").alias("s"))
+    shared = written(each.groupBy("lead", "s").agg(F.count("*").alias("c")).where("c > 1"), "shared")  # elements of one member alone are in no common part
+    of_member = Window.partitionBy("lead", "rep")
+    room = F.count("*").over(of_member) - F.row_number().over(of_member.orderBy("c", "s")) + 1  # this element and those behind it
+    early = written(each.join(shared, ["lead", "s"]).withColumn("room", room).where("room >= need").drop("c", "need"), "early")
+    x, y = early.where("excess > 0").alias("x"), early.alias("y")
+    # w(x) + w(y) - (100 - percent) |h| = excess(x) + w(y)
+    fits = (100 + percent) * F.least("x.room", "y.room") >= F.col("x.excess") + F.col("y.w")
+    once = (F.col("y.excess") <= 0) | (F.col("x.rep") > F.col("y.rep"))
+    met = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & fits)
+    return written(met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct(), "across")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -225,38 +253,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     members = _able(members, sets, percent)
     leads = written(members.groupBy("key").agg(F.min("rep").alias("lead")), "leads")
     led = members.join(leads, "key").where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    led = written(led, "led")
     links = _verified(led, sets, percent)
     comps = components(links, "led")
 
-    # Buckets that still span components: their other members against hubs of the main component, others each round, as long as
-    # that links anything and the pairs left outnumber the members.
-    spans = _spanning(members, comps)
-    for turn in range(HUB_ROUNDS):
-        left = spans.dropDuplicates(["key"]).agg(F.sum("across").alias("pairs"), F.sum("size").alias("members")).first()
-        if not left["pairs"] or left["pairs"] <= 2 * left["members"]:
-            break
-        inside = spans.where("component = main").groupBy("key").agg(*[
-            F.min(F.struct(F.xxhash64("rep", F.lit(HUBS * turn + k)).alias("h"), F.col("rep").alias("hub"))).alias(f"h{k}") for k in range(HUBS)])
-        hubs = inside.select("key", F.explode(F.array_distinct(F.array(*[f"h{k}.hub" for k in range(HUBS)]))).alias("hub"))
-        pairs = spans.where("component <> main").join(hubs, "key").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-        found = _verified(pairs, sets, percent)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        comps = components(links, f"hub{turn}")
-        spans = _spanning(members, comps)
-
-    # The rest: members outside a bucket's main component with all others across components, each pair in the first bucket it shares.
-    known = classed.where("bands IS NOT NULL").select("rep", "bands").join(sets.select(F.col("id").alias("rep"), "sketch"), "rep")
-    fine = written(spans.select("key", "rep", "n", "component", "main").join(known, "rep"), "fine")
-    x, y = fine.where("component <> main").alias("x"), fine.alias("y")
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") > F.col("y.rep"))
-    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    first = F.get(F.col("x.bands"), (F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) - 1).cast("int"))
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & alike
-                     & ~_far(F.col("x.sketch"), F.col("y.sketch"), percent) & (first == F.col("x.key")))
-              .select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct())
-    more = _verified(across, sets, percent)
+    more = _verified(_across(led, sets, comps, percent), sets, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
         comps = components(links, "final")
