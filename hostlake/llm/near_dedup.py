@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,14 +90,19 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
+def fingerprints(shingles: np.ndarray) -> tuple[int, int]:
+    """Two longs that sets share, size beside them, only if they are equal."""
+    m = mix(shingles)
+    return int(m.sum(dtype=U64).view(np.int64)), int((mix(m + U64(0x51ED27)) ^ m).sum(dtype=U64).view(np.int64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, one, two, bands = [], [], [], []
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
-            m = mix(s)
-            one.append(int(m.sum(dtype=U64).view(np.int64)))
-            two.append(int((mix(m + U64(0x51ED27)) ^ m).sum(dtype=U64).view(np.int64)))
+            for column, value in zip((one, two), fingerprints(s)):
+                column.append(value)
             bands.append(band_keys(signature(s)) if len(s) else None)
         lists = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum([0 if b is None else BANDS for b in bands])]).astype(np.int32)),
@@ -122,9 +128,11 @@ def _sets_of(bits: bytes):
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             bits_at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
             sketches = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            one, two = zip(*map(fingerprints, sets)) if sets else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.ListArray.from_arrays(bits_at, pa.array(sketches))],
-                names=["id", "shingles", "sketch"])
+                [part.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                 pa.ListArray.from_arrays(bits_at, pa.array(sketches))],
+                names=["id", "f1", "f2", "shingles", "sketch"])
 
     return run
 
@@ -146,10 +154,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, shingles, sketch) of the documents in ids, from one more pass over the texts."""
+    """(id, shingles, sketch) for (id, f1, f2) of ids, from one more pass over the texts; of an id with several texts the one meant."""
     bits = membership_bits(ids, "id")
-    sets = documents.mapInArrow(_sets_of(bits), "id long, shingles array<long>, sketch array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    return written(sets, "sets")
+    sets = documents.mapInArrow(_sets_of(bits), "id long, f1 long, f2 long, shingles array<long>, sketch array<long>")
+    return written(sets.join(ids, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"]).drop("f1", "f2"), "sets")
 
 
 def _far(a: Column, b: Column, percent: int) -> Column:
@@ -235,21 +243,24 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set has the distinct 5-word shingles, or the whole sequence if there are
     fewer words. Documents link at 100 * intersection >= percent * union. Texts that are null or without words have an empty set
-    and stay alone. n_rows counts the rows of a doc_id; rows that repeat a doc_id are one document, the text of the largest set
-    counting. A null doc_id is a row of its own with a null component, kept. n_links: classes linked with the document's class
+    and stay alone. n_rows counts the rows of a doc_id; rows that repeat a doc_id are one document, of which only the text with the
+    largest set counts (ties by a hash of the set). A null doc_id is a row of its own with a null component, kept, and links with nothing. n_links: classes linked with the document's class
     among the verified pairs. An empty table gives an empty result; other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sig")
     keys = ["n_shingles", "f1", "f2"]
-    firsts = written(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "firsts")
-    classed = written(sig.join(firsts, keys, "left").select(
-        "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    per_doc = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max(F.struct(*keys)).alias("top"))
+    per_doc = written(per_doc.select("doc_id", "n_rows", "top.*"), "documents")
+    firsts = written(per_doc.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "firsts")
+    classed = sig.select(F.col("doc_id").alias("rep"), *keys, "bands").join(firsts, ["rep", *keys], "left_semi").dropDuplicates(["rep"])
+    classed = written(classed.select("rep", "f1", "f2", "bands"), "classes")
 
-    banded = classed.where("bands IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = classed.select("rep", F.explode("bands").alias("key"))
     crowded = written(banded.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key"), "crowded")
     members = written(banded.join(crowded, "key").select("key", "rep").distinct(), "bucketed")
-    sets = _sets(members.select(F.col("rep").alias("id")).distinct(), docs)
+    meant = classed.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "f1", "f2")
+    sets = _sets(written(meant, "meant"), docs)
     members = _able(members, sets, percent)
     leads = written(members.groupBy("key").agg(F.min("rep").alias("lead")), "leads")
     led = members.join(leads, "key").where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
@@ -265,11 +276,13 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = comps.withColumnRenamed("id", "rep").join(ends, "rep", "left")
-    per_doc = classed.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.min("rep").alias("rep"))
-    out = per_doc.join(classes, "rep", "left")
+    out = per_doc.join(firsts, keys, "left").join(classes, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_rows", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_rows", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                     (F.col("doc_id") == component).alias("kept"))
+    nothing = sig.where("doc_id IS NULL").select("doc_id", F.lit(1).cast("long").alias("n_rows"), "n_shingles", F.lit(None).cast("long").alias("component_id"),
+                                                 F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return out.unionByName(nothing)
 
 
 @register("op10_near_duplicates")
@@ -277,10 +290,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
 
 
+def _print_of(texts: pd.Series) -> pd.DataFrame:
+    sets = list(shingle_sets(pa.array(texts, pa.string(), from_pandas=True)))
+    return pd.DataFrame([(len(s), *fingerprints(s)) for s in sets], columns=["n", "f1", "f2"])
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (and of rows that repeat a doc_id) one row stays."""
+    """Pipeline stage: of each group of near-duplicates (and of rows that repeat a doc_id) one row stays, with the text that counted.
+    Rows with a null doc_id all stay."""
     found = written(near_duplicates(docs).where("doc_id IS NOT NULL AND (NOT kept OR n_rows > 1)").select("doc_id", "kept"), "found")
     gone = written(found.select("doc_id"), "gone")  # a table whose size is known: a small one is sent to the texts, not the texts to it
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("kept").select("doc_id")
-    return rest if again.isEmpty() else rest.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    if again.isEmpty():
+        return rest
+    print_of = F.pandas_udf(_print_of, "n long, f1 long, f2 long")
+    rows = docs.join(again, "doc_id", "left_semi").select(
+        F.struct(*docs.columns).alias("row"), F.struct(print_of(F.col("text").cast("string")).alias("p"), F.col("text").alias("t")).alias("by"))
+    return rest.unionByName(rows.groupBy("row.doc_id").agg(F.max_by("row", "by").alias("row")).select("row.*"))

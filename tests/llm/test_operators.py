@@ -86,6 +86,52 @@ def test_near_duplicates_in_chains_and_crowds(spark):
     assert got == want
 
 
+def test_near_duplicates_among_many_edits(spark):
+    """1,500 members round one text, most of them too far from it and from each other, some in pairs and chains of their own."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for doc in range(1500):
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 4, 5, 6, 7, 9])):
+            words[k] = f"e{k}" if doc % 3 else f"e{k}-{rng.randint(0, 3)}"  # edits that many share, and rarer ones
+        rows.append((doc, " ".join(words)))
+    for k in range(40):  # far from the base, near one another
+        words = list(base)
+        for at in (5, 25, 45, 65, 85, 105, 125):
+            words[at] = f"other{k // 8}"
+        words[140] = f"z{k}"
+        rows.append((2000 + k, " ".join(words)))
+    sets = {doc: set(text) for doc, text in brute_sets(rows).items()}
+    want = brute_components(sets)
+    assert len(set(want.values())) > 5
+    pairs, verified = [], near_dedup._verified
+    near_dedup._verified = lambda p, s, percent: (pairs.append(p.count()), verified(p, s, percent))[1]
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        near_dedup._verified = verified
+    assert got == want
+    assert sum(pairs) < 60 * len(rows)  # not the square of the members
+
+
+def test_near_duplicates_of_ids_with_several_texts_and_none(spark):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, two), (2, one), (2, two), (3, one + " more"), (None, one), (None, two), (None, None), (None, one), (4, None), (4, two), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    got = near_dedup.near_duplicates(docs).collect()
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert [(d, by[d].n_rows, by[d].n_shingles, by[d].component_id, by[d].kept) for d in sorted(by)] == [
+        (1, 1, 26, 1, True), (2, 2, 56, 2, True), (3, 1, 57, 2, False), (4, 2, 26, 1, False), (5, 2, 0, 5, True)]
+    none = [(r.n_rows, r.n_shingles, r.component_id, r.n_links, r.kept) for r in got if r.doc_id is None]
+    assert sorted(none) == [(1, 0, None, 0, True), (1, 26, None, 0, True), (1, 56, None, 0, True), (1, 56, None, 0, True)]
+    left = near_dedup.keep_one_of_each(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(0, one), (0, one), (0, two), (0, ""), (1, two), (2, one), (5, "")])
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(odd).collect()}
     assert (got[1].n_shingles, got[1].component_id, got[2].kept, got[3].n_shingles) == (0, 1, True, 0)
