@@ -216,7 +216,8 @@ def _across(led: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) ->
     where (100 + percent) c >= w(x) + w(y) - (100 - percent) |h|, c being how many elements M(x) and M(y), A(x) and A(y) have in
     common. So one that links with the leader has w(x) <= (100 - percent) |h|; where c = 0 both do, and need no pair. For any other x,
     with excess e(x) = w(x) - (100 - percent) |h|, w(y) >= percent c gives 100 c >= e(x). The first common element, rare ones first, then
-    has c - 1 others behind it in either difference, which bounds how far elements count.
+    has c - 1 others behind it in either difference, which bounds how far elements count. Pairs far from the leader can share many
+    elements without a link; those with sketches far apart don't leave the join.
     """
     placed = led.join(comps.select(F.col("id").alias("a"), "component"), "a", "left").select("a", "b", F.coalesce("component", "a").alias("component"))
     spread = written(placed.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("b"), "spread")
@@ -229,12 +230,14 @@ def _across(led: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) ->
     shared = written(each.groupBy("lead", "s").agg(F.count("*").alias("c")).where("c > 1"), "shared")  # elements of one member alone are in no common part
     of_member = Window.partitionBy("lead", "rep")
     room = F.count("*").over(of_member) - F.row_number().over(of_member.orderBy("c", "s")) + 1  # this element and those behind it
-    early = written(each.join(shared, ["lead", "s"]).withColumn("room", room).where("room >= need").drop("c", "need"), "early")
+    early = written(each.join(shared, ["lead", "s"]).withColumn("room", room).where("room >= need").drop("c", "need")
+                    .join(sets.select(F.col("id").alias("rep"), "sketch"), "rep"), "early")
     x, y = early.where("excess > 0").alias("x"), early.alias("y")
     # w(x) + w(y) - (100 - percent) |h| = excess(x) + w(y)
     fits = (100 + percent) * F.least("x.room", "y.room") >= F.col("x.excess") + F.col("y.w")
     once = (F.col("y.excess") <= 0) | (F.col("x.rep") > F.col("y.rep"))
-    met = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & fits)
+    met = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & fits
+                 & ~_far(F.col("x.sketch"), F.col("y.sketch"), percent))
     return written(met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct(), "across")
 
 
