@@ -198,6 +198,15 @@ def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(fit.join(crowded, "key"), "members")
 
 
+def _leaders(members: DataFrame) -> DataFrame:
+    """(key, lead): of each bucket the member that meets most others over all buckets, ties to the smaller id. One order for all buckets,
+    so of two members at most one leads the other; few leaders for many buckets mean few pairs of member and leader."""
+    crowds = written(members.groupBy("key").agg(F.count("*").alias("c")), "crowds")
+    met = written(members.join(crowds, "key").groupBy("rep").agg(F.sum("c").alias("met")), "met")
+    first = F.max_by("rep", F.struct("met", -F.col("rep")))
+    return written(members.join(met, "rep").groupBy("key").agg(first.alias("lead")), "leads")
+
+
 def _differences(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(lead, rep, w, excess, diff) of the pairs (a: member, b: leader): diff has the shingles of one set alone; a member and its leader
     link where excess <= 0."""
@@ -227,7 +236,10 @@ def _across(led: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) ->
     parts = cut.join(outside, "lead").join(placed.select(F.col("b").alias("lead"), F.col("a").alias("rep"), "component"), ["lead", "rep"])
     parts = parts.withColumn("need", F.ceil(F.when(F.col("excess") > 0, F.col("excess") / 100).otherwise((F.col("w") + F.col("least")) / (100 + percent))))
     each = parts.select("lead", "rep", "component", "w", "excess", "need", F.explode("diff").alias("s"))
-    shared = written(each.groupBy("lead", "s").agg(F.count("*").alias("c")).where("c > 1"), "shared")  # elements of one member alone are in no common part
+    # an element counts if it can be common to members of two components of which one doesn't link with the leader
+    shared = (each.groupBy("lead", "s").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("excess").alias("most"))
+              .where("lo < hi AND most > 0"))
+    shared = written(shared.select("lead", "s", "c"), "shared")
     of_member = Window.partitionBy("lead", "rep")
     room = F.count("*").over(of_member) - F.row_number().over(of_member.orderBy("c", "s")) + 1  # this element and those behind it
     early = written(each.join(shared, ["lead", "s"]).withColumn("room", room).where("room >= need").drop("c", "need")
@@ -265,8 +277,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     meant = classed.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "f1", "f2")
     sets = _sets(written(meant, "meant"), docs)
     members = _able(members, sets, percent)
-    leads = written(members.groupBy("key").agg(F.min("rep").alias("lead")), "leads")
-    led = members.join(leads, "key").where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    leads = _leaders(members)
+    led = members.join(leads, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     led = written(led, "led")
     links = _verified(led, sets, percent)
     comps = components(links, "led")
