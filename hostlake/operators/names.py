@@ -1,9 +1,11 @@
 """Fuzzy matching of names and texts with host and container names, as equi-joins on short grams.
 
-"A contains B" is decided at an anchor: of the grams of a name (8 characters, 4 or the whole name if it is shorter), the one that the
-fewest names have. Texts give one row per position and gram length; only where a gram is an anchor is the whole name compared,
-in place. Names have any length; nothing is collected, and no pair of a name and a text is formed unless the anchor meets.
-Names are made distinct first, and hosts are reduced to the first one per joined name.
+"A contains B" is decided at an anchor: of the grams of a name (the whole name up to 8 bytes, else 8, 16 or 32 bytes), the one that
+the fewest names have. Only positions of a text whose gram may be an anchor, by a bitmap of fixed size, become rows; only where a
+gram is an anchor is the whole name compared, in place. Names have any length; no pair of a name and a text is formed unless the
+anchor meets. Names are made distinct first, and hosts are reduced to the first one per joined name.
+
+Rows of grams go through a shuffle before they are joined: Spark then knows their size and broadcasts only what is small.
 """
 
 from __future__ import annotations
@@ -11,42 +13,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.runner import new_path
+from .grams import bitmap, grams
+
 WORDS = r"[-_.\s]+"
-GRAMS = (8, 4, 3, 2, 1)
-BLOCK = 256  # characters that one step of the walk over a text looks at
 
 
-def _grams(df: DataFrame, c: str, lengths: Column, *keys: str) -> DataFrame:
-    """(keys, at, gram): grams of c of the given lengths by their first position, from blocks that overlap by a gram."""
-    blocks = df.filter(F.length(c) > 0).select(
-        *keys, lengths.alias("_lengths"), F.length(c).alias("_n"), F.col(c).alias("_c"),
-        F.explode(F.sequence(F.lit(1), F.length(c), F.lit(BLOCK))).alias("_b"))
-    blocks = blocks.select(*keys, "_lengths", "_b", F.least(F.lit(BLOCK), F.col("_n") - F.col("_b") + 1).alias("_size"),
-                           F.col("_c").substr(F.col("_b"), F.lit(BLOCK + max(GRAMS) - 1)).alias("_block"))
-    walked = blocks.select(*keys, "_lengths", "_b", "_block", F.explode(F.sequence(F.lit(1), "_size")).alias("_i"))
-    rows = walked.select(*keys, "_b", "_block", "_i", F.explode("_lengths").alias("_g")).select(
-        *keys, (F.col("_b") + F.col("_i") - 1).alias("at"), F.col("_block").substr(F.col("_i"), F.col("_g")).alias("gram"), "_g")
-    return rows.filter(F.length("gram") == F.col("_g")).drop("_g")
+def _anchors(names: DataFrame, c: str) -> DataFrame:
+    """(c, gram, size, anchor_at): the rarest gram of every distinct name and its first position there, written to the shared folder."""
+    rows = grams(names.select(c).distinct(), c, c).repartition("gram")
+    shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_shared"))
+    rarest = F.min_by(F.struct("gram", "size", F.col("at").alias("anchor_at")), F.struct("_shared", "at"))
+    anchors = rows.join(shared, "gram").groupBy(c).agg(rarest.alias("_a")).select(c, "_a.*")
+    path = new_path(names.sparkSession, "anchors")
+    anchors.write.parquet(path)  # read by the bitmap and by the join
+    return names.sparkSession.read.schema(anchors.schema).parquet(path)
 
 
-def _anchors(names: DataFrame, c: str) -> DataFrame:
-    """(c, gram, anchor_at): the rarest gram of every distinct name and its first position there."""
-    n = F.length(c)
-    own = F.array(F.when(n >= 8, 8).when(n >= 4, 4).otherwise(n))
-    grams = _grams(names.select(c).distinct(), c, own, c)
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_shared"))
-    rarest = F.min_by(F.struct("gram", F.col("at").alias("anchor_at")), F.struct("_shared", "at"))
-    return grams.join(shared, "gram").groupBy(c).agg(rarest.alias("_a")).select(c, "_a.*")
+def text_key(text) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _met(bodies: DataFrame, body: str, names: DataFrame, name: str) -> DataFrame:
+    """(_key, body, name): every row of bodies (_key, body) with every name that occurs in it, once."""
+    anchors = _anchors(names, name)
+    rows = grams(bodies, "_key", body, bitmap(anchors)).repartition("gram")
+    at = rows.join(anchors.drop("size"), "gram").select("_key", name, (F.col("at") - F.col("anchor_at") + 1).alias("_from")).filter("_from > 0")
+    wanted = F.col(name).cast("binary")
+    here = F.col(body).cast("binary").substr(F.col("_from").cast("int"), F.length(wanted)) == wanted
+    return at.distinct().join(bodies, "_key").filter(here).drop("_from").distinct()
+
+
+def _bodies(texts: DataFrame, body: str) -> DataFrame:
+    return texts.select(body).filter(F.length(body) > 0).distinct().withColumn("_key", text_key(body))
 
 
 def contained(texts: DataFrame, body: str, names: DataFrame, name: str) -> DataFrame:
     """(body, name): every distinct text with every name that occurs in it. Empty and null strings match nothing."""
-    bodies = texts.select(body).filter(F.length(body) > 0).distinct().withColumn("_key", F.md5(body))
-    grams = _grams(bodies, body, F.array(*map(F.lit, GRAMS)), "_key")
-    met = grams.join(_anchors(names, name), "gram").select(
-        "_key", name, (F.col("at") - F.col("anchor_at") + 1).alias("_from")).filter("_from > 0").distinct()
-    here = met.join(bodies, "_key").filter(F.col(body).substr(F.col("_from"), F.length(name)) == F.col(name))
-    return here.select(body, name).distinct()
+    return _met(_bodies(texts, body), body, names, name).select(body, name)
 
 
 def _first(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
@@ -83,10 +87,10 @@ def match_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFr
 def extract_node_name(texts: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
     """The node a text speaks of: its whole host name occurs, or a word of it that no other host contains."""
     low = F.lower(text)
-    wanted = texts.select(low.alias("body")).distinct()
+    bodies = _bodies(texts.select(low.alias("body")), "body")
     hosts_all = registry_order(nodes)
     hosts = _first(hosts_all, ["host"])
-    whole = contained(wanted, "body", hosts, "host").join(hosts, "host").select("body", "node_id", "hostname", "ord")
+    whole = _met(bodies, "body", hosts, "host").select("_key", "host").join(hosts, "host").select("_key", "node_id", "hostname", "ord")
 
     words = hosts_all.select("host", F.explode(F.split("host", WORDS)).alias("word")).filter(F.length("word") >= 3)
     vocabulary = words.select("word").distinct()
@@ -94,10 +98,11 @@ def extract_node_name(texts: DataFrame, nodes: DataFrame, text: str = "text") ->
     once = (contained(hosts_all, "host", vocabulary, "word").join(hosts_all, "host").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.first("node_id").alias("node_id"), F.first("hostname").alias("hostname"),
         F.first("ord").alias("ord")).filter("n = 1"))
-    tokens = wanted.withColumn("token", F.explode(F.array_distinct(F.split("body", r"(?U)[^\w]+"))))
-    by_word = tokens.join(once, tokens["token"] == once["word"]).select("body", "node_id", "hostname", "ord")
-    best = _first(whole.unionByName(by_word), ["body"])
-    return texts.join(best.drop("ord"), low == best["body"]).drop("body")
+    # where a word occurs, the text is split to see whether it stands there by itself
+    alone = F.array_contains(F.split("body", r"(?U)[^\w]+"), F.col("word"))
+    by_word = _met(bodies, "body", once, "word").filter(alone).select("_key", "word").join(once, "word").select("_key", "node_id", "hostname", "ord")
+    best = _first(whole.unionByName(by_word), ["_key"])
+    return texts.join(best.drop("ord"), text_key(low) == best["_key"]).drop("_key")
 
 
 def find_container(names: DataFrame, containers: DataFrame, nodes: DataFrame, name: str = "name") -> DataFrame:

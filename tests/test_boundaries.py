@@ -417,6 +417,40 @@ def test_names_of_any_length_match(spark, length):
     assert names.find_container(asked, rows, nodes).count() == 3
 
 
+def test_names_in_texts_are_those_of_brute_force(spark):
+    """Names of all sizes in texts of all sizes, beyond ASCII too; only places where a name may be become rows."""
+    import random
+
+    from hostlake.operators import names
+    from hostlake.operators.grams import SIZES, bitmap, grams
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé日-1") for _ in range(n))
+    wanted = [word(n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 17, 31, 32, 40, 90) for _ in range(4)]
+    given = [word(n) + rng.choice(wanted) + word(n) for n in (0, 1, 30, 300) for _ in range(40)] + ["", None, "x" * 5000]
+    texts, asked = frame(spark, [(t,) for t in given], "body STRING"), frame(spark, [(w,) for w in wanted] + [("",), (None,)], "name STRING")
+    got = {(r["body"], r["name"]) for r in names.contained(texts, "body", asked, "name").collect()}
+    assert got == {(t, w) for t in given if t for w in wanted if w in t} and len({len(w) for _, w in got}) > 12
+    one = grams(frame(spark, [("building-77",)], "name STRING"), "name", "name")
+    long = frame(spark, [(i, f"{i} words " * 2000) for i in range(5)] + [(5, "is building-77 up")], "k INT, body STRING")
+    found = grams(long, "k", "body", bitmap(one)).collect()
+    assert {r["k"] for r in found} == {5} and len(found) == 4 and {r["size"] for r in found} == {8} and 8 in SIZES
+
+
+def test_rows_of_grams_are_measured_before_they_are_joined(spark):
+    """A broadcast of rows that a small table was expanded into, unseen by Spark's estimate, took the driver's memory."""
+    from hostlake.operators import names
+
+    asked = frame(spark, [(f"node building-{i}",) for i in range(50)], "name STRING")
+    nodes = frame(spark, [(f"n{i}", f"building-{i}", at(i)) for i in range(50)], "node_id STRING, hostname STRING, last_seen TIMESTAMP_NTZ")
+    got = names.match_node(asked, nodes)
+    assert got.count() == 50
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    above = lambda i: next((x for x in reversed(plan[:i]) if "Exchange" in x), "")
+    expanded = [i for i, x in enumerate(plan) if "MapInArrow" in x or "Generate explode" in x]
+    assert expanded and all("hashpartitioning" in above(i) for i in expanded)
+
+
 def test_a_node_registered_twice_multiplies_nothing(spark):
     nodes = frame(spark, [("n1",), ("n2",)], "node_id STRING")
     own = frame(spark, [("a", "n1", "free", at(0)), ("b", "n1", "pro", at(1)), ("b", "n2", "pro", at(1))],
