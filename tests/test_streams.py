@@ -165,3 +165,50 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert sinks.merge_episode_changes(two.limit(0), 2, path) and table() == now and sinks.last_applied(spark, path) == 2
     sinks.upsert_episodes(spark, spark.read.parquet(path).drop("date"), path, str(tmp_path / "again"))  # a batch lost between merge and note: the same rows again
     assert table() == now
+
+
+def test_a_node_is_one_read_and_one_write_a_trigger():
+    """However many rows and weeks are released, the processors call the state server for one value and at most one timer."""
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            self.value = None
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+        def getCurrentWatermarkInMs(self):
+            return 4_000_000_000
+
+    fired = json.dumps([{"fired": [{"alert_type": "cpu", "severity": "warning", "message": "m"}]}])
+    rows_ = pd.DataFrame({"us": [w * 7 * 86_400_000_000 for w in range(6, -1, -1)], "items": [fired, '[{"fired":[]}]'] * 3 + [fired]})
+    handle = Handle()
+    episodes = jobs.Episodes(offline_minutes=5)
+    episodes.init(handle)
+    out = pd.concat(episodes.handleInputRows(("n1",), iter([rows_]), handle))
+    assert calls == ["get", "update"]
+    assert out[out["alert_type"] == "cpu"]["event"].tolist() == ["opened", "resolved"] * 3 + ["opened"] and (out["alert_type"] == "node_offline").sum() == 13
+
+
+def test_parts_of_payloads_are_in_order_and_from_many_tasks(spark, tmp_path):
+    from hostlake.checks.streams import payload_parts
+
+    path, newest, n = str(tmp_path / "lines"), "", 0
+    for i in payload_parts(spark, SF, 3, path):
+        part = spark.read.text(f"{path}/part{i}").select(F.get_json_object("value", "$.timestamp").alias("t"))
+        low, high, rows_ = part.agg(F.min("t"), F.max("t"), F.count("t")).first()
+        assert low > newest and rows_ > 200
+        newest, n = high, n + rows_
+    assert n == T.payload_lines(spark, SF).count()
