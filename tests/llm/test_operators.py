@@ -325,6 +325,62 @@ def test_short_repeated_lines_go(spark):
     assert {(i, 3 * n + 1) for i in range(1, 4) for n in range(4)} <= got and not any(i == 0 for i, _ in got)
 
 
+def brute_runs(docs, min_words):
+    """Of each line the longest run from it that also begins earlier, without those that the line before has; with copies and first place."""
+    lines = {i: t.split("\n") if t else [] for i, t in sorted(docs)}
+    places = [(i, n) for i, seq in lines.items() for n in range(len(seq))]
+
+    def common(x, y):
+        a, b = lines[x[0]][x[1]:], lines[y[0]][y[1]:]
+        return next((k for k, (c, d) in enumerate(zip(a, b)) if c != d), min(len(a), len(b)))
+
+    out, end = set(), (None, 0)
+    for at, x in enumerate(places):
+        k = max((common(x, y) for y in places[:at]), default=0)
+        words = sum(len(line.split()) for line in lines[x[0]][x[1]:x[1] + k])
+        if words >= min_words and (end[0] != x[0] or x[1] + k > end[1]):
+            same = [y for y in places if common(x, y) >= k]
+            out.add((*x, k, words, len(same), *same[0]))
+            end = x[0], x[1] + k
+    return out
+
+
+def test_maximal_line_runs_are_those_of_brute_force(spark, tmp_path):
+    """Short alphabets (runs overlap themselves), equal documents, segments that others hold, and copies with one line changed."""
+    import random
+
+    rng = random.Random(11)
+    docs = [(i, "\n".join(rng.choice(["a", "b b", "", "c c c"][:rng.randint(1, 4)]) for _ in range(rng.randint(0, 9)))) for i in range(20)]
+    long = [f"line {k}" for k in range(45)]
+    docs += [(20 + i, "\n".join(["one of a kind %d" % k if k == 7 * i else x for k, x in enumerate(long)])) for i in range(4)]
+    docs += [(30, "\n".join(long[8:13])), (31, "\n".join(long[8:13])), (32, "\n".join(["a"] * 12)), (33, "only here\n" + "\n".join(long[8:13])), (34, docs[21][1]), (35, None), (36, "")]
+    docs += [(40, "p\nq"), (41, "p\nq"), (42, "p\nq\nr"), (43, "p\nq\nr"), (44, "p\nq")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for min_words in (1, 3):
+        found = line_dedup.repeated_lines(df, min_words).collect()
+        got = {(r.doc_id, x.line, x.lines, x.words, x.copies, x.first_doc_id, x.first_line) for r in found for x in r.runs}
+        assert got == brute_runs(docs, min_words)
+        gone = {(r.doc_id, line) for r in found for line in r.gone}
+        assert gone == {(x[0], line) for x in got for line in range(x[1], x[1] + x[2])} == brute_lines(docs, min_words)
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in line_dedup.op9_line_runs(spark, str(tmp_path)).collect()}
+    assert rows[34].runs == "0+45:93:2@21/0" and rows[34].n_deleted == 45 and rows[44].runs == "0+2:2:5@40/0" and rows[35].runs == ""
+    assert {f"{x[1]}+{x[2]}" for x in brute_runs(docs, 1) if x[0] == 23} == {r.partition(":")[0] for r in rows[23].runs.split(",")}
+
+
+def test_ranks_are_doubled_to_the_longest_repeated_run(spark):
+    """However few words a run needs to count; the ranks order the suffixes."""
+    seq = [[7, 8, 9, 7, 8, 9, 7, 8, 1], [5, 7, 8, 9, 7, 8, 9, 7], [8, 8]]
+    at = [0, 9, 17]
+    ranks = line_dedup._ranks(spark.createDataFrame([*zip(at, seq)], "at long, lines array<long>"))
+    assert len(ranks) == 3  # 7 8 9 7 8 9 7 is there twice, no run of 8 lines
+    for k, level in enumerate(ranks):
+        runs = {a + i: s[i:i + (1 << k)] for a, s in zip(at, seq) for i in range(len(s) - (1 << k) + 1)}
+        got = {r.pos: r["rank"] for r in level.collect()}
+        assert set(got) == {p for p, x in runs.items() if [*runs.values()].count(x) > 1}
+        assert all((got[p] < got[q]) == (runs[p] < runs[q]) for p in got for q in got)
+
+
 def test_line_runs_of_odd_rows(spark, odd):
     got = {r.doc_id: (r.n_lines, r.gone) for r in line_dedup.repeated_lines(odd, 5).collect()}
     assert got[1] == (0, []) and got[5] == (1, []) and got[8] == (1, [0]) and got[3] == (2, [])
