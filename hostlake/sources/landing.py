@@ -27,9 +27,11 @@ def whole_payloads(raw: DataFrame, arrived_at: Column | None = None) -> DataFram
     """(node_id, ts, hostname, collectors): a row per payload that names its sender, with event time as land_payloads has it."""
     arrived = F.current_timestamp() if arrived_at is None else arrived_at
     sent = F.coalesce(F.try_to_timestamp(F.col("p.timestamp")), arrived)
-    rows = _parsed(raw, PAYLOAD).select(F.coalesce("p.node_id", "p.lab_id").alias("node_id"), sent.cast("timestamp").alias("ts"),
-                                        F.col("p.hostname").alias("hostname"), F.col("p.collectors").alias("collectors"))
-    return rows.filter("node_id is not null and collectors is not null")
+    sender = F.coalesce("p.node_id", "p.lab_id")
+    # As in land_payloads: a filter would be pushed below the projection and parse every line again, once for each of its fields.
+    whole = F.when(sender.isNotNull() & F.col("p.collectors").isNotNull(), F.array("p.collectors"))
+    return _parsed(raw, PAYLOAD).select(sender.alias("node_id"), sent.cast("timestamp").alias("ts"), F.col("p.hostname").alias("hostname"),
+                                        F.explode(whole).alias("collectors"))
 
 
 def land_payloads(raw: DataFrame, arrived_at: Column | None = None) -> DataFrame:

@@ -212,3 +212,85 @@ def test_parts_of_payloads_are_in_order_and_from_many_tasks(spark, tmp_path):
         assert low > newest and rows_ > 200
         newest, n = high, n + rows_
     assert n == T.payload_lines(spark, SF).count()
+
+
+def test_nodes_of_a_bucket_are_one_read_and_one_write():
+    """The rows of many nodes in one frame give each node's own events, for one value read and written."""
+    import pandas as pd
+
+    class Handle:
+        calls, value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    fired = json.dumps([{"fired": [{"alert_type": "cpu", "severity": "warning", "message": "m"}]}])
+    given = [("n2", 30, fired), ("n1", 20, '[{"fired":[]}]'), ("n1", 10, fired), (None, 15, fired), ("n2", 5, '[{"fired":[]}]')]
+    later = [("n1", 50, fired), ("n2", 60, '[{"fired":[]}]'), (None, 70, '[{"fired":[]}]'), ("null", 80, fired)]
+    handle, out = Handle(), []
+    episodes = jobs.Episodes(cooldown_minutes=0)
+    episodes.init(handle)
+    for part in (given, later):
+        frame = pd.DataFrame(part, columns=["node_id", "us", "items"])
+        out += [tuple(r) for x in episodes.handleInputRows((7,), iter([frame]), handle) for r in x[["node_id", "event", "at"]].itertuples(index=False)]
+    assert handle.calls == ["get", "update"] * 2
+    assert sorted((n or "", e, int(at.value // 1000)) for n, e, at in out) == [
+        ("", "opened", 15), ("", "resolved", 70), ("n1", "opened", 10), ("n1", "opened", 50), ("n1", "resolved", 20), ("n2", "opened", 30), ("n2", "resolved", 60),
+        ("null", "opened", 80)]
+
+
+@pytest.mark.parametrize("cuts", [[], [4, 7]])
+def test_silences_of_nodes_that_share_a_key(spark, tmp_path, monkeypatch, cuts):
+    """Nodes of one key fall silent at their own times, with rows of others in between, in any triggers."""
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    jobs.use_rocksdb(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    seen = [("n1", 0), ("n2", 30), ("n3", 60), ("n2", 3600), ("n1", 3700), ("n3", 3720), ("n2", 9000), ("n1", 9300), ("n2", 9310), ("n1", 20000)]
+    schema = "node_id STRING, ts TIMESTAMP"
+    given = [(n, t0 + dt.timedelta(seconds=s)) for n, s in seen]
+    out, check, src = (str(tmp_path / x) for x in ("out", "check", "src"))
+    edges = [0, *cuts, len(seen)]
+    for a, b in zip(edges, edges[1:]):
+        spark.createDataFrame(given[a:b], schema).coalesce(1).write.mode("append").parquet(f"{src}/p{a}")
+        none = F.expr("array()").cast("array<struct<alert_type:string,severity:string,message:string>>")
+        df = jobs.episode_stream(spark.readStream.schema(schema).parquet(f"{src}/p*").select("node_id", "ts", none.alias("fired")), offline_minutes=5, late="0 seconds")
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(df.schema).parquet(out)
+    batch = offline_episodes(spark.createDataFrame(given, schema), F.lit(given[-1][1]).cast("timestamp"), 5)
+    opened, closed = got.filter("event = 'opened'"), got.filter("event = 'resolved'").withColumn("resolved_at", F.col("at"))
+    closed = closed.filter(F.col("at") <= given[-1][1])  # the batch ends there, before the check that ends the last silence
+    assert batch.count() >= 7 and rows(opened, "node_id", "created_at") == rows(batch, "node_id", "created_at")
+    assert rows(closed, "node_id", "created_at", "resolved_at") == rows(batch.filter("resolved_at IS NOT NULL"), "node_id", "created_at", "resolved_at")
+
+
+def test_a_line_is_parsed_once_and_meets_the_thresholds_as_values(spark, tmp_path):
+    """One from_json a line, and whole payloads don't go through the join with the thresholds; the join gives the rows of the rules alone."""
+    spark.createDataFrame([(payload(s, 70),) for s in (0, 10)] + [("{}",), ('{"lab_id":"n1"}',), ("x",), (None,)], "value STRING").write.text(str(tmp_path / "l"))
+    limits = spark.createDataFrame([("n1", 60.0)], "node_id STRING, cpu_warning DOUBLE")
+    df = jobs.payload_firings(landing.whole_payloads(spark.read.text(str(tmp_path / "l"))), limits)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and 0 < plan.index("Join") < plan.index("try_variant_get(")
+    assert [r["n"] for r in df.select(F.size("fired").alias("n")).collect()] == [1, 1]
+
+
+def test_parts_are_written_once_and_may_be_empty(spark, tmp_path):
+    """Lines are moved, not copied, into their part; rows of one time are one part and the others are there without rows; null lines are none."""
+    from hostlake.checks.streams import payload_parts
+
+    t = dt.datetime(2024, 1, 1)
+    events = [(i, t, i % 2, "view", 1.0, '{"k": 5}') for i in range(6)] + [(6, None, 1, "view", 1.0, '{"k": 5}'), (7, t, None, "view", 1.0, '{"k": 5}')]
+    spark.createDataFrame(events, "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING").selectExpr(
+        "event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    path, staged = str(tmp_path / "lines"), lambda: {f for f in os.listdir(spark.conf.get("spark.checkpoint.dir")) if f.startswith("staged-lines")}
+    before = staged()
+    assert [spark.read.text(f"{path}/part{i}").count() for i in payload_parts(spark, str(tmp_path), 3, path)] == [6, 0, 0]
+    left = [f for d in staged() - before for _, _, names in os.walk(os.path.join(spark.conf.get("spark.checkpoint.dir"), d)) for f in names if f.startswith("part-")]
+    assert left == []
